@@ -8,8 +8,13 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
+    "warc",
     "packing",
     "token_counts",
+    "fingerprints",
+    "secret_scan",
+    "chat_format",
+    "language_id",
     "mixing",
 )
 
