@@ -11,6 +11,7 @@ MODULES = (
     "warc",
     "packing",
     "token_counts",
+    "near_dedup",
     "fingerprints",
     "secret_scan",
     "chat_format",
