@@ -1,0 +1,248 @@
+import base64
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from tests.llm.fixtures import DOCS, documents, frame, prose
+from tidemark.llm import chat_format, fingerprints, language_id, media, mixing, secret_scan, warc
+from tidemark.llm.common import scratch_path
+
+
+# --- secret scans
+
+
+def base_spans(text):
+    kinds = [
+        ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6),
+        ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20),
+        ("hex", re.compile("[0-9a-f]+"), 0, 24),
+    ]
+    found = [(m.start(), k, m.end(), name) for k, (name, p, g, least) in enumerate(kinds) for m in p.finditer(text or "") if len(m.group(g)) >= least]
+    return [f"{name}:{a}:{b}" for a, _, b, name in sorted(found)]
+
+
+def test_secret_spans_against_brute_force(spark):
+    r = random.Random(8)
+    parts = ["password", "SECRET", "Token", "api_key", "=", ":", " ", '"', "'", "abc", "deadbeef" * 3, "AKIA", "ABCDEFGH12345678", "short", "é", "\U0001f600", "-", "x9", "0123456789abcdef01234567", "\n"]
+    rows = [(i, "".join(r.choice(parts) for _ in range(r.randint(0, 25))), "en", r.choice(["s1", None]), 0) for i in range(400)]
+    rows += [(900, None, None, None, None), (None, "token=abcdef", "en", "s1", 1), rows[3]]
+    got = secret_scan.scan(frame(spark, rows, extra=True)).select("doc_id", secret_scan.span_text("base").alias("b")).collect()
+    assert sorted(((x.doc_id if x.doc_id is not None else -1), x.b) for x in got) == sorted(((i if i is not None else -1), ",".join(base_spans(t))) for i, t, *_ in rows)
+    assert secret_scan.scan(frame(spark, [])).collect() == []
+
+
+def test_live_values_are_found_bare_and_examples_are_not(spark):
+    live, copied = "hunter2hunter2x9", "exampleexample01"
+    rows = [(1, f'password = "{live}"', "en", "a", 0), (2, f"see {live} here", "en", "b", 0), (3, f"see {copied} here", "en", "b", 0)]
+    rows += [(10 + i, f"token={copied}", "en", f"s{i}", 0) for i in range(4)]
+    got = {r.doc_id: r.s for r in secret_scan.scan(frame(spark, rows)).select("doc_id", secret_scan.span_text("spans").alias("s")).collect()}
+    assert got[2] == "corpus:4:20" and got[3] == "" and got[1].startswith("assign:")
+    text = {r.doc_id: r.text for r in secret_scan.redact(frame(spark, rows)).collect()}
+    assert text[2] == "see [SECRET] here" and text[1] == '[SECRET]"' and text[3] == rows[2][1]
+
+
+# --- mixing
+
+
+def test_mixing(spark):
+    rows = [(i, "w " * (i % 37), "en", f"s{i % 4}" if i % 5 else None, 0) for i in range(600)] + [(1, "w w", "en", "s1", 0)] * 3 + [(None, None, None, None, None)]
+    docs = frame(spark, rows, extra=True)
+    got = mixing.mix_counts(docs).collect()
+    assert len(got) == len(rows)
+    total = sum(r.size for r in got)
+    by = {}
+    for r in got:
+        assert 0 <= r.taken <= 3 * r.size
+        by.setdefault((r.source_size, r.target), []).append(r)
+    assert abs(sum(t for _, t in by) - total) < 1e-6 * total
+    for (_, target), rs in by.items():
+        assert abs(sum(r.taken for r in rs) - target) <= max(40, 0.02 * target)
+    again = mixing.mix_counts(docs.repartition(7)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns and out.count() == sum(r.copies for r in got)
+    assert mixing.mix(frame(spark, [])).collect() == [] and mixing.mix_counts(frame(spark, [])).collect() == []
+
+
+def test_targets_stop_at_three_times(spark):
+    sizes = {"a": 10, "b": 1000, "c": 2000, None: 5, "e": 0}
+    totals = spark.createDataFrame([(s, str(s), n) for s, n in sizes.items()], "__source string, __key string, source_size long")
+    got = {r["__source"]: r.target for r in mixing.targets(totals).collect()}
+    order = ["a", "b", "c", "e", None]
+    weight = dict(zip(order, [1, 2, 3, 1, 2], strict=True))
+    want, left, free = {}, float(sum(sizes.values())), set(order)
+    while free:
+        rate = left / sum(weight[s] for s in free)
+        over = {s for s in free if weight[s] * rate > 3 * sizes[s]}
+        if not over:
+            want.update({s: weight[s] * rate for s in free})
+            break
+        for s in over:
+            want[s] = 3.0 * sizes[s]
+            left -= want[s]
+        free -= over
+    assert got == pytest.approx(want)
+
+
+# --- WARC
+
+
+def test_warc_round_trip(spark):
+    r = random.Random(1)
+    rows = [(i, f"http://x/{i}", prose(r, r.randint(0, 4000))) for i in range(30)]
+    rows += [(100, None, rows[4][2]), (2, "http://x/2", rows[2][2]), (101, "u", None), (102, "u", ""), (None, "u", rows[5][2]), (103, "u", "é\r\n\r\nWARC/1.1\r\n" * 2000)]
+    path = scratch_path(spark, "warc_test")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    records = warc.read_records(spark, path)
+    assert records.where("type = 'continuation'").count() > 10
+    got = warc.reassembled(records).collect()
+    assert len(got) == len(rows) and all(x.whole for x in got)
+    first = {}
+    for i, _, h in sorted(rows, key=lambda x: (x[0] is None, x[0])):
+        first.setdefault(h or "", i)
+    name = lambda x: int(x.split(":")[2]) if x and x.split(":")[2] else None
+    for x in got:
+        i = name(x.record_id)
+        payload = next(h or "" for k, _, h in rows if k == i)
+        assert x.digest == base64.b32encode(hashlib.sha1(payload.encode()).digest()).decode()
+        if x.refers_to is None:
+            assert bytes(x.payload) == payload.encode() and first[payload] == i
+        else:
+            assert name(x.refers_to) == first[payload]
+    assert sum(x.refers_to is None for x in got) == len({h or "" for _, _, h in rows})
+
+
+def test_broken_segments_are_told(spark):
+    path = scratch_path(spark, "warc_broken")
+    warc.write_archives(spark.createDataFrame([(1, "u", "x" * 30_000), (2, "v", "y" * 30_000)], "page_id long, url string, html string"), path)
+    records = warc.read_records(spark, path)
+    lost = records.where("not (segment = 2 and origin like 'urn:page:1:%')")
+    assert {x.record_id.split(":")[2]: (x.whole, x.payload is None) for x in warc.reassembled(lost).collect()} == {"1": (False, True), "2": (True, False)}
+    with pytest.raises(ValueError):
+        warc.unchunked(b"5\r\nab")
+
+
+# --- chat formatting
+
+
+def test_chat_round_trip(spark):
+    r = random.Random(2)
+    odd = ["<|im_end|>", "<|im_start|>", "<\\|", "<|", "|>", "\\", "a", " ", "\n", "é", "<|endoftext|>"]
+    rows = [(c, t, r.choice(["user", "assistant", "system", None]), "".join(r.choice(odd) for _ in range(r.randint(0, 8))) if r.random() < 0.9 else None) for c in range(20) for t in range(r.randint(1, 9))]
+    rows += [(50, t, "assistant", f"turn {t}") for t in range(400)] + [(None, 0, "user", "x")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {x.conv_id: x for x in chat_format.read_back(chat_format.formatted(turns)).collect()}
+    by = {}
+    for c, t, role, text in rows:
+        by.setdefault(c, []).append((t, role or "", text or ""))
+    assert set(got) == set(by)
+    for c, ts in by.items():
+        loss = "".join(x for _, role, x in sorted(ts) if role == "assistant")
+        assert got[c].n_turns == len(ts) and got[c].loss_chars == len(loss)
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in sorted(ts)).encode()).hexdigest()
+        assert got[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+    assert chat_format.read_back(chat_format.formatted(turns.limit(0))).collect() == []
+
+
+# --- language ID
+
+
+def test_language_id(spark):
+    r = random.Random(3)
+    en, fr = ("the", "and", "wh", "ing", "there", "th", "er"), ("eau", "é", "les", "oux", "ère", "qu", "ai")
+    rows = [(i, prose(r, r.randint(3, 60), en if i % 2 else fr), None if i % 11 == 0 else ("en" if i % 2 else "fr"), "s", 0) for i in range(300)]
+    rows += [(400, None, "en", "s", 0), (401, "", "en", "s", 0), (402, "123 ²!", "en", "s", 0), (None, "there and thing", "en", "s", 0), rows[0]]
+    docs = frame(spark, rows, extra=True)
+    got = language_id.identified(docs)
+    assert [c for c in got.columns if c not in ("lang_pred", "score")] == [c for c in docs.columns if c != "score"]
+    right = 0
+    for x in got.collect():
+        assert 0 <= x.score <= 1
+        if x.doc_id in (400, 401, 402):
+            assert x.lang_pred == "und" and x.score == 0
+        elif x.doc_id is not None:
+            right += x.lang_pred == ("en" if x.doc_id % 2 else "fr")
+    assert right >= 296
+    none = spark.createDataFrame([(1, "abc", None, "s", 0)], DOCS)
+    assert [x.lang_pred for x in language_id.identified(none).collect()] == ["und"]
+    assert language_id.identified(frame(spark, [])).collect() == []
+
+
+def test_held_out_is_the_crc(spark):
+    got = {x.doc_id: x.h for x in spark.range(200).withColumnRenamed("id", "doc_id").selectExpr("doc_id").withColumn("h", language_id.held_out(__import__("pyspark.sql.functions", fromlist=["col"]).col("doc_id"))).collect()}
+    assert got == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in range(200)}
+
+
+# --- fingerprints
+
+
+def test_fingerprints(spark):
+    rows = documents()
+    rows += [rows[3], (None, "before all", "en", "s", 0)]
+    got = fingerprints.fingerprints(frame(spark, rows, extra=True)).collect()
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
+    want = []
+    for k, (i, t, *_) in enumerate(order):
+        t, n = t or "", order[(k + 1) % len(order)][1] or ""
+        e = t[: len(t) - len(t) // 4] + n[: len(t) // 4]
+        f = [fingerprints.fingerprint(x) for x in (t, e, n)]
+        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), f[0], f[1], fingerprints.likeness(f[0], f[1]), fingerprints.likeness(f[0], f[2])))
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert fingerprints.fingerprints(frame(spark, [])).collect() == []
+    one = fingerprints.fingerprints(frame(spark, rows[:1])).collect()
+    assert len(one) == 1 and one[0].near_next == 1.0
+
+
+def naive(text, k=fingerprints.K):
+    """The same selection, element by element."""
+    with np.errstate(over="ignore"):
+        h = fingerprints.kmer_hashes(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64), k)
+        seen, slots = {}, {}
+        for i, x in enumerate(h):
+            n = seen.get(int(x), 0)
+            seen[int(x)] = n + 1
+            e = x if n == 0 else fingerprints.mixed(np.array([x + np.uint64(n) * fingerprints._STEP], dtype=np.uint64))[0]
+            slots.setdefault(int(e) >> 58, []).append((int(e), i))
+        out = []
+        for s in range(fingerprints.SLOTS):
+            best = sorted(sorted(slots.get(s, []))[: fingerprints.TUPLE], key=lambda p: p[1])
+            v = np.zeros(1, dtype=np.uint64)
+            for j in range(fingerprints.TUPLE):
+                v = fingerprints.mixed(v * fingerprints._STEP + np.uint64(best[j][0] if j < len(best) else 0) + np.uint64(j + 1))
+            out.append(f"{int(v[0] % np.uint64(0xFFFF)) + 1 if best else 0:04x}")
+    return "".join(out)
+
+
+def test_fingerprint_selection_and_edit_order():
+    r = random.Random(4)
+    for n in (1, 3, 8, 20, 300):
+        t = prose(r, n)
+        assert fingerprints.fingerprint(t) == naive(t)
+    assert fingerprints.fingerprint("ab" * 200) == naive("ab" * 200)
+    a = prose(r, 300)
+    half = len(a) // 2
+    swapped = a[half:] + a[:half]
+    f = fingerprints.fingerprint
+    assert fingerprints.likeness(f(a), f(swapped)) < 0.75 < fingerprints.likeness(f(a), f(a[:-5]))
+
+
+# --- media
+
+
+def test_edited_copies_are_linked(spark):
+    r = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in r.normal(size=64)]) for i in range(60)] + [(70, None), (71, [])]
+    images = media.pictures(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    extra = spark.createDataFrame([(80, None), (81, bytearray(b"not an image")), (82, bytearray(b"not an image"))], "image_id long, image binary")
+    got = {x.image_id: x for x in media.image_copies(images.unionByName(extra), "image_id", "image").collect()}
+    for i in range(0, 60, 10):
+        assert got[i].component_id == got[-1 - i].component_id
+    for i in range(60):
+        if i % 10:
+            assert got[i].component_id == i
+    assert got[82].component_id == 81 and got[80].component_id == 80 and got[80].n_corners == 0
+    assert media.image_copies(extra.limit(0), "image_id", "image").collect() == []

@@ -8,6 +8,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
+    "media",
     "warc",
     "packing",
     "token_counts",

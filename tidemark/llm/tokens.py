@@ -20,8 +20,8 @@ import struct
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Entries that a worker's cache keeps before it starts anew, and the longest chunk it keeps.
-CACHE_ENTRIES = 600_000
+#: Entries of each of a worker's two generations of cached chunks, and the longest chunk it keeps.
+CACHE_ENTRIES = 400_000
 CACHE_CHUNK_BYTES = 96
 
 _BYTE_CHUNK = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
@@ -66,78 +66,105 @@ def byte_chunks(text: str, specials: tuple[str, ...]) -> list[str]:
 _ODD_ASCII = re.compile("[\x1c-\x1f]")
 
 
-class ByteCounts:
-    """Token counts of byte-level chunks: a broadcast table of frequent ones before this worker's cache."""
+class Cache:
+    """What chunks encode to, in two generations: when the young one is full the old one goes, and what is asked for
+    again is young again. So a worker's memory is bounded and frequent chunks stay."""
 
-    def __init__(self, name: str):
-        self.t = tokenizer(name)
-        self.specials = tuple(a.content for a in self.t.get_added_tokens_decoder().values())
-        self.own: dict[str, int] = {}
+    def __init__(self, t, value):
+        self.t, self.value = t, value
+        self.young: dict = {}
+        self.old: dict = {}
 
-    def add(self, missing) -> None:
-        many = list(missing)
+    def encode(self, many: list) -> None:
+        """Encodes chunks by the library and keeps them."""
         for at in range(0, len(many), 4096):
             part = many[at : at + 4096]
-            for chunk, e in zip(part, self.t.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.own[chunk] = len(e.ids)
+            texts = [c.decode("utf-8", "replace") if isinstance(c, bytes) else c for c in part]
+            for chunk, e in zip(part, self.t.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                self.young[chunk] = self.value(e.ids)
+
+    def missing(self, chunks) -> list:
+        """Those of some distinct chunks that are in neither generation."""
+        young, old, out = self.young, self.old, []
+        for c in chunks:
+            if c not in young:
+                if (v := old.get(c)) is not None:
+                    young[c] = v
+                else:
+                    out.append(c)
+        return out
+
+    def learn(self, chunks: list) -> None:
+        self.encode(chunks)
+
+    def look_up(self, chunks: list) -> list:
+        """The values of chunks, in order."""
+        if len(self.young) > CACHE_ENTRIES:
+            self.old, self.young = self.young, {}
+        got = list(map(self.young.get, chunks))
+        if None not in got:
+            return got
+        new = self.missing({c for c, v in zip(chunks, got, strict=True) if v is None})
+        self.learn([c for c in new if len(c) <= CACHE_CHUNK_BYTES])
+        got = list(map(self.young.get, chunks))
+        if None in got:
+            long = {}
+            for c in {c for c, v in zip(chunks, got, strict=True) if v is None}:
+                long[c] = self.value(self.t.encode(c.decode("utf-8", "replace") if isinstance(c, bytes) else c, add_special_tokens=False).ids)
+            got = [long[c] if v is None else v for c, v in zip(chunks, got, strict=True)]
+        return got
+
+
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit bytes."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class ByteCounts(Cache):
+    """Token counts of byte-level chunks: a broadcast table of frequent ones before this worker's cache."""
+
+    def __init__(self, name: str):
+        super().__init__(tokenizer(name), len)
+        self.specials = tuple(a.content for a in self.t.get_added_tokens_decoder().values())
 
     def count(self, texts: list[str], frequent: dict[str, int]) -> list[int]:
         out = []
         for text in texts:
-            if len(self.own) > CACHE_ENTRIES:
-                self.own.clear()
             chunks = byte_chunks(text, self.specials)
-            got = [frequent.get(c) or self.own.get(c) for c in chunks]
+            got = list(map(frequent.get, chunks))
             if None in got:
-                missing = {c for c, n in zip(chunks, got, strict=True) if n is None}
-                self.add(c for c in missing if len(c) <= CACHE_CHUNK_BYTES)
-                long = {c: len(self.t.encode(c, add_special_tokens=False).ids) for c in missing if len(c) > CACHE_CHUNK_BYTES}
-                got = [n if n is not None else long[c] if c in long else self.own[c] for c, n in zip(chunks, got, strict=True)]
-            out.append(sum(got))
+                rest = self.look_up([c for c, n in zip(chunks, got, strict=True) if n is None])
+                out.append(sum(n for n in got if n is not None) + sum(rest))
+            else:
+                out.append(sum(got))
         return out
 
 
-class ChunkIds:
-    """Ids of chunks as little-endian unsigned 32-bit bytes."""
+class ChunkIds(Cache):
+    """Packed ids of chunks; words: chunks are those of the word tokenizer, as bytes."""
 
     def __init__(self, name: str, plain_specials: bool = False, words: bool = False):
-        self.t = tokenizer(name, plain_specials)
+        super().__init__(tokenizer(name, plain_specials), packed)
         self.words = words
-        self.own: dict = {}
-
-    def add(self, missing) -> None:
-        many = list(missing)
-        for at in range(0, len(many), 4096):
-            part = many[at : at + 4096]
-            texts = [c.decode("utf-8", "replace") if isinstance(c, bytes) else c for c in part]
-            for chunk, e in zip(part, self.t.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                self.own[chunk] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
-    def add_words(self, missing: set[bytes]) -> None:
-        """For the word tokenizer: a plain word and the punctuation after it are encoded, and kept, apart."""
-        plain = {c: m.groups() for c in missing if (m := _PLAIN_WORD.fullmatch(c.decode("utf-8", "replace")))}
-        parts = {(w.lower().encode(), p.encode()) for w, p in plain.values()}
-        self.add({x for pair in parts for x in pair if x and x not in self.own} | {c for c in missing if c not in plain})
+    def learn(self, chunks: list) -> None:
+        """For the word tokenizer, a plain word and the punctuation after it are encoded, and kept, apart."""
+        if not self.words:
+            self.encode(chunks)
+            return
+        plain, rest = {}, []
+        for c in chunks:
+            if m := _PLAIN_WORD.fullmatch(c.decode("utf-8", "replace")):
+                plain[c] = (m[1].lower().encode(), m[2].encode())
+            else:
+                rest.append(c)
+        self.encode(rest + self.missing({x for pair in plain.values() for x in pair if x}))
         for c, (w, p) in plain.items():
-            self.own[c] = self.own[w.lower().encode()] + (self.own[p.encode()] if p else b"")
+            self.young[c] = self.young[w] + (self.young[p] if p else b"")
 
     def join(self, chunks: list) -> bytes:
         """The ids of all chunks, one after another."""
-        own = self.own
-        if len(own) > CACHE_ENTRIES:
-            own.clear()
-        got = list(map(own.get, chunks))
-        if None in got:
-            missing = {c for c, n in zip(chunks, got, strict=True) if n is None}
-            few = {c for c in missing if len(c) <= CACHE_CHUNK_BYTES}
-            (self.add_words if self.words else self.add)(few)
-            long = {}
-            for c in missing:
-                if len(c) > CACHE_CHUNK_BYTES:
-                    ids = self.t.encode(c.decode("utf-8", "replace") if isinstance(c, bytes) else c, add_special_tokens=False).ids
-                    long[c] = struct.pack(f"<{len(ids)}I", *ids)
-            got = [g if g is not None else long[c] if c in long else self.own[c] for c, g in zip(chunks, got, strict=True)]
-        return b"".join(got)
+        return b"".join(self.look_up(chunks))
 
 
 def word_ids(text: str, ids: ChunkIds) -> bytes:
