@@ -1,0 +1,41 @@
+"""Daily buckets from an event stream, merged into a points table as their days end."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from tidemark.operators.history import upsert
+
+
+def daily_counts(events: DataFrame, ts: str = "ts", key: str = "event_type", late: str = "1 day") -> DataFrame:
+    """Counts by day and key. A day is given out once, when the watermark has passed its end: partial days never are."""
+    stamped = events.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", late)
+    days = stamped.groupBy(F.window("__ts", "1 day").alias("w"), F.col(key).alias("series_id")).agg(F.count(F.lit(1)).alias("value"))
+    return days.select("series_id", F.to_date("w.start").alias("ts"), F.col("value").cast("double").alias("value"))
+
+
+def merge_into(path: str):
+    """A sink that keeps one row per series and day, the newest; each batch becomes a version of the table, so a repeated
+    batch changes nothing."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        new = batch.select("series_id", "ts", "value")
+        if number > 0:
+            new = upsert(read_points(spark, path, number - 1), new, ["series_id", "ts"])
+        new.write.mode("overwrite").parquet(f"{path}/v={number}")
+
+    return merge
+
+
+def read_points(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
+    """A version of the table, by default the latest."""
+    if number is None:
+        number = max(r.v for r in spark.read.parquet(path).select("v").distinct().collect())
+    return spark.read.schema("series_id string, ts date, value double").parquet(f"{path}/v={number}")
+
+
+def start(events: DataFrame, path: str, checkpoint: str, **options) -> StreamingQuery:
+    return daily_counts(events, **options).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(merge_into(path)).trigger(availableNow=True).start()
