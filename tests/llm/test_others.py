@@ -54,10 +54,11 @@ def test_mixing(spark):
     got = mixing.mix_counts(docs).collect()
     assert len(got) == len(rows)
     total = sum(r.size for r in got)
+    source = {i: s for i, _, _, s, _ in rows}
     by = {}
     for r in got:
         assert 0 <= r.taken <= 3 * r.size
-        by.setdefault((r.source_size, r.target), []).append(r)
+        by.setdefault((source[r.doc_id], r.target), []).append(r)
     assert abs(sum(t for _, t in by) - total) < 1e-6 * total
     for (_, target), rs in by.items():
         assert abs(sum(r.taken for r in rs) - target) <= max(40, 0.02 * target)

@@ -25,6 +25,18 @@ def test_caches_give_the_librarys_results(odd_texts, monkeypatch, entries):
     assert [tokens.word_ids(t, ids) for t in odd_texts] == [tokens.packed(e.ids) for e in word.encode_batch(odd_texts, add_special_tokens=False)]
 
 
+def test_second_library_agrees_on_words():
+    t = tokens.tokenizer("word_bpe_49k.json")
+    code, plain = tokens.word_coder(t), tokens._PLAIN_WORD
+    known = [w for w in (x.removesuffix("</w>") for x in t.get_vocab(False)) if w.isascii() and w.isalpha() and plain.fullmatch(w)]
+    r = random.Random(7)
+    words = known + ["".join(r.choice(known) for _ in range(r.randint(2, 3))) for _ in range(60_000)] + ["".join(r.choice("etaoinsçéàü") for _ in range(r.randint(1, 14))) for _ in range(40_000)]
+    assert len(known) > 40_000
+    for at in range(0, len(words), 4096):
+        part = words[at : at + 4096]
+        assert [code(w + "\0") for w in part] == [e.ids for e in t.encode_batch_fast(part, add_special_tokens=False)]
+
+
 def test_token_counts(spark):
     rows = documents()
     rows.append(rows[5])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
-from tidemark.llm.tokens import ChunkIds, byte_chunks, shared, tokenizer
+from tidemark.llm.tokens import ChunkIds, byte_chunks, byte_letters, shared, tokenizer
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Reserved ids, behind the vocabulary's last.
@@ -47,8 +47,7 @@ def _packed(*ids: int) -> bytes:
 
 def token_bytes(name: str) -> dict[int, bytes]:
     """The bytes of every id of a byte-level vocabulary."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in plain)}
+    letters = byte_letters()
     specials = {a.content for a in tokenizer(name).get_added_tokens_decoder().values()}
     return {i: t.encode() if t in specials else bytes(letters[c] for c in t) for t, i in tokenizer(name).get_vocab(True).items()}
 

@@ -3,7 +3,7 @@
 1. One pass over the texts gives each its shingle set's digest and SetSketch
    registers. Equal sets are one class from then on, however many copies.
 2. Bands of registers put classes into buckets. A bucket's members are paired
-   with its first and last member only.
+   with its first member and with the one before them only.
 3. The likeliest similarity of a pair's registers, the set sizes known, drops
    pairs that are far below the threshold; full sets confirm the others.
 4. Links make components, by alternating stars.
@@ -21,7 +21,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import drop_written, table, written
@@ -59,74 +59,78 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """(key, id, lo, hi): the members of every bucket that has several, with its first and last."""
+    """(key, id, lo, prev, n): the members of every bucket that has several, with its first member and the one before."""
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
     keys = classes.select("id", "registers", band.alias("band"))
     keys = keys.select(F.xxhash64("band", F.expr(f"substring(registers, band * {2 * ROWS} + 1, {2 * ROWS})")).alias("key"), "id")
     whole = Window.partitionBy("key")
-    return keys.withColumns({"lo": F.min("id").over(whole), "hi": F.max("id").over(whole), "n": F.count(F.lit(1)).over(whole)}).where("lo < hi")
+    return keys.withColumns({"lo": F.min("id").over(whole), "n": F.count(F.lit(1)).over(whole), "prev": F.lag("id").over(whole.orderBy("id"))}).where("n > 1")
 
 
-def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that the sizes allow and whose likeliest similarity is at least MAYBE."""
-    side = lambda x: classes.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= THRESHOLD * F.greatest("n_a", "n_b"))
+PAIR = ("id", "n_shingles", "registers", "text")
 
-    def run(batches):
-        sketch = shared(SetSketch, BANDS * ROWS)
-        for batch in batches:
-            for at in range(0, len(batch), 2048):
-                c = {k: batch.slice(at, 2048).column(i) for i, k in enumerate(batch.schema.names)}
-                x, y = (np.frombuffer(b"".join(c[k].to_pylist()), dtype=np.uint16).reshape(-1, sketch.m) for k in ("r_a", "r_b"))
-                j = sketch.jaccard(x, y, c["n_a"].to_numpy().astype(float), c["n_b"].to_numpy().astype(float))
-                yield pa.RecordBatch.from_arrays([c["a"], c["b"]], names=["a", "b"]).filter(pa.array(j >= MAYBE))
-
-    return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long")
 
-
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
-    side = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"t_{x}"))
+def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the sizes allow, whose likeliest similarity is at least MAYBE, and whose full sets reach the threshold."""
+    side = lambda x: texts.select(*[F.col(c).alias(x if c == "id" else f"{x}_{c}") for c in PAIR])
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    both = both.where(100 * F.least("a_n_shingles", "b_n_shingles") >= THRESHOLD * F.greatest("a_n_shingles", "b_n_shingles"))
 
     def run(batches):
-        sets, known = shared(Shingler), {}
-        for batch in batches:
-            keep = []
-            for a, b, t, u in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+        sets, sketch, known = shared(Shingler), shared(SetSketch, BANDS * ROWS), {}
+
+        def shingles(k, text):
+            if k not in known:
                 if len(known) > 64:
                     known.clear()
-                new = [(k, v) for k, v in ((a, t), (b, u)) if k not in known]
-                known.update(zip((k for k, _ in new), sets.sets([v for _, v in new]), strict=True))
-                x, y = known[a], known[b]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= THRESHOLD * (len(x) + len(y) - both) > 0)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                known[k] = sets.sets([text])[0]
+            return known[k]
 
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long")
+        for whole in batches:
+            keep = []
+            for at in range(0, len(whole), 2048):
+                part = whole.slice(at, 2048)
+                x, y = (np.frombuffer(b"".join(part.column(f"{k}_registers").to_pylist()), dtype=np.uint16).reshape(-1, sketch.m) for k in "ab")
+                j = sketch.jaccard(x, y, *(part.column(f"{k}_n_shingles").to_numpy().astype(float) for k in "ab"))
+                part = part.filter(pa.array(j >= MAYBE))
+                for a, b, t, u in zip(*(part.column(c).to_pylist() for c in ("a", "b", "a_text", "b_text")), strict=True):
+                    s, r = shingles(a, t), shingles(b, u)
+                    common = len(np.intersect1d(s, r, assume_unique=True))
+                    if 100 * common >= THRESHOLD * (len(s) + len(r) - common):
+                        keep.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in keep], pa.int64()), pa.array([b for _, b in keep], pa.int64())], names=["a", "b"])
+
+    columns = ["a", "b", *[f"{k}_{c}" for k in "ab" for c in PAIR[1:]]]
+    return both.select(*columns).mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every end of the links (a, b): the least id that it reaches.
 
-    Alternating large and small stars; each round is a written table. Minima are
-    combined before the shuffle; a join on a much linked id is left to AQE.
+    Alternating stars over links from a larger to a smaller id. The large star
+    moves a link's small end to that end's own least neighbour; the small star
+    gathers a node's small ends under the least. An id that very many link to
+    stands on the side of a join that AQE splits, and its own links are few. Each
+    round is a written table; it ends when count and hash sum stay the same.
     """
-    state = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    before = mark(state)
+    before, rounds = None, links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+    state = None
     while True:
-        ends = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = ends.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        after = written(small.where("a <> b").distinct(), "links")
-        now = mark(after)
-        drop_written(state)
+        seen = Observation()
+        mark = rounds.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
+        after = written(mark, "links")
+        now = (seen.get["n"], seen.get["h"])
+        if state is not None:
+            drop_written(state)
         state = after
-        if now == before:
+        if now == before or not now[0]:
             break
         before = now
+        least = state.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), "m")
+        large = state.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b"))
+        small = large.withColumn("m", F.min("b").over(Window.partitionBy("a"))).select("a", "b", "m")
+        moved = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("l"))
+        rounds = moved.select("l.a", "l.b").where("a <> b").distinct()
     ends = state.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return ends.unionByName(state.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
@@ -210,23 +214,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "classes",
     )
     members = written(buckets(classes), "buckets")
-    star = members.select(F.col("id").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b")
-    star = star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs = written(estimated(star, classes), "pairs")
-    # Only documents of some bucket are ever confirmed; their texts are moved once.
-    wanted = members.select("id").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
-    texts = written(texts, "texts")
-    links = written(confirmed(pairs, texts).distinct(), "confirmed")
-    labels = components(links)
+    star = members.select(F.col("id").alias("a"), F.explode(F.array("lo", "prev")).alias("b")).where("b is not null and a <> b").distinct()
+    # Only documents of some bucket are ever compared; their texts are moved once.
+    wanted = classes.select("id", "n_shingles", "registers").join(members.select("id").distinct(), "id", "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id")
+    texts = written(texts.select(*PAIR), "texts")
+    labels = components(linked(star, texts))
     for forest in (True, False):
-        more = written(estimated(left_over(members, labels, classes, forest), classes), "pairs")
-        fresh = written(confirmed(more, texts).distinct(), "confirmed")
-        if fresh.isEmpty():
-            if more.isEmpty():
-                break
-            continue
-        labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(fresh))
+        more = written(left_over(members, labels, classes, forest), "pairs")
+        if more.isEmpty():
+            break
+        fresh = written(linked(more, texts), "confirmed")
+        if not fresh.isEmpty():
+            labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(fresh))
     named = classes.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     rows = base.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component"))

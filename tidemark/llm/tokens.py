@@ -140,12 +140,34 @@ class ByteCounts(Cache):
         return out
 
 
+def word_coder(t):
+    """The word tokenizer's vocabulary and merges in a second library, for single lower-case words: about five times as
+    fast on words that no cache holds. The end of a word, a suffix in the vocabulary, is the byte 0 here; a merge's rank
+    is its token's id in both. Tests hold the two libraries' ids against each other."""
+    import tiktoken
+
+    specials, ranks = {a.content for a in t.get_added_tokens_decoder().values()}, {}
+    letters = byte_letters()
+    for token, i in t.get_vocab(True).items():
+        if token not in specials:
+            word = token.removesuffix("</w>")
+            ranks[bytes(letters[c] for c in word) + (b"\0" if word != token else b"")] = i
+    return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+def byte_letters() -> dict[str, int]:
+    """The bytes that the letters of a byte-level vocabulary stand for: printable ones for themselves, the others in order from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in plain)}
+
+
 class ChunkIds(Cache):
     """Packed ids of chunks; words: chunks are those of the word tokenizer, as bytes."""
 
     def __init__(self, name: str, plain_specials: bool = False, words: bool = False):
         super().__init__(tokenizer(name, plain_specials), packed)
         self.words = words
+        self.code = word_coder(self.t) if words else None
 
     def learn(self, chunks: list) -> None:
         """For the word tokenizer, a plain word and the punctuation after it are encoded, and kept, apart."""
@@ -158,7 +180,9 @@ class ChunkIds(Cache):
                 plain[c] = (m[1].lower().encode(), m[2].encode())
             else:
                 rest.append(c)
-        self.encode(rest + self.missing({x for pair in plain.values() for x in pair if x}))
+        self.encode(rest + self.missing({p for _, p in plain.values() if p}))
+        for w in self.missing({w for w, _ in plain.values()}):
+            self.young[w] = packed(self.code(w.decode() + "\0"))
         for c, (w, p) in plain.items():
             self.young[c] = self.young[w] + (self.young[p] if p else b"")
 
