@@ -8,10 +8,11 @@
    pairs that are far below the threshold; full sets confirm the others.
 4. Links make components, by alternating stars.
 5. A bucket that then still holds several components is compared inside, in
-   blocks of bounded size, across components only: first the best of the
-   possible links, as a forest; then, among components that remain apart, all
-   possible links. So no link of a bucket is lost, and pairs inside a component,
-   which cannot change it, are never made.
+   blocks of bounded size, across components only, each pair in the first band
+   that it shares: first the best of the possible links, as a forest, whose
+   pairs are confirmed like others; then what remains apart is confirmed where
+   its block stands, texts beside one another, and only links that unite come
+   out. So no link of a bucket is lost, and the pairs of a group are never rows.
 """
 
 from __future__ import annotations
@@ -34,8 +35,11 @@ ROWS = 4
 THRESHOLD = 75
 #: Pairs whose likeliest similarity is below are not confirmed: four standard errors under the threshold.
 MAYBE = 0.60
-#: Most members of a block that are compared with those of another.
+#: About as many members, and shingles in all, has a block that is compared with another.
 BLOCK = 1_024
+BLOCK_SHINGLES = 4_000_000
+#: Members of larger buckets are ordered in parts of about this size.
+PART = 4_096
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -59,12 +63,17 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """(key, id, lo, prev, n): the members of every bucket that has several, with its first member and the one before."""
+    """(key, band, id, lo, prev, n): the members of every bucket that has several, with its first member and the one before.
+
+    First members and sizes are partial aggregates; a large bucket is then dealt
+    into parts, so that its members never meet in one task (prev is in the part).
+    """
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
     keys = classes.select("id", "registers", band.alias("band"))
-    keys = keys.select(F.xxhash64("band", F.expr(f"substring(registers, band * {2 * ROWS} + 1, {2 * ROWS})")).alias("key"), "id")
-    whole = Window.partitionBy("key")
-    return keys.withColumns({"lo": F.min("id").over(whole), "n": F.count(F.lit(1)).over(whole), "prev": F.lag("id").over(whole.orderBy("id"))}).where("n > 1")
+    keys = keys.select(F.xxhash64("band", F.expr(f"substring(registers, band * {2 * ROWS} + 1, {2 * ROWS})")).alias("key"), "band", "id")
+    several = keys.groupBy("key").agg(F.min("id").alias("lo"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / PART))
+    return keys.join(several, "key").withColumn("prev", F.lag("id").over(Window.partitionBy("key", part).orderBy("id")))
 
 
 PAIR = ("id", "n_shingles", "registers", "text")
@@ -135,65 +144,98 @@ def components(links: DataFrame) -> DataFrame:
     return ends.unionByName(state.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-GROUP = "a long, b long"
+PLACE = ("key", "kind", "i", "j")
 
 
-def left_over(members: DataFrame, labels: DataFrame, classes: DataFrame, forest: bool) -> DataFrame:
-    """Possible links (a, b) between components inside a bucket, by registers.
+def left_over(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, placed in pairs of blocks, with their registers.
 
-    A bucket's largest component is held against all others, and these against
-    one another, in blocks of about BLOCK members; a group of two blocks is a
-    task's unit and its only product is possible links. Buckets of up to three
-    were paired fully before.
+    A bucket's largest component is held against all others (kind 1), and these
+    against one another (kind 0); side says which of the two blocks a member is of.
+    Buckets of up to three were paired fully before.
     """
-    named = members.where("n > 3").select("key", "id").join(labels, "id", "left")
+    named = members.where("n > 3").select("key", "band", "id").join(labels, "id", "left")
     named = named.withColumn("component", F.coalesce("component", "id"))
-    whole = Window.partitionBy("key")
-    named = named.withColumn("in_component", F.count(F.lit(1)).over(Window.partitionBy("key", "component")))
-    named = named.withColumn("most", F.max(F.struct("in_component", "component")).over(whole)["component"])
-    named = named.withColumns({"rest": F.count_if(F.col("component") != F.col("most")).over(whole), "main": F.count_if(F.col("component") == F.col("most")).over(whole)}).where("rest > 0")
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    named = named.withColumns({"of_rest": blocks("rest"), "of_main": blocks("main"), "spot": F.xxhash64("id", F.lit(1))})
+    sizes = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
+    sizes = sizes.groupBy("key").agg(F.max(F.struct("m", "component"))["component"].alias("most"), F.max("m").alias("main"), F.sum("m").alias("n")).where("n > main")
+    named = named.join(sizes, "key").join(classes.select("id", "n_shingles", "registers"), "id")
+    of_main = F.col("component") == F.col("most")
+    weight = named.groupBy("key").agg(F.sum(F.when(of_main, F.col("n_shingles")).otherwise(0)).alias("main_s"), F.sum(F.when(of_main, 0).otherwise(F.col("n_shingles"))).alias("rest_s"))
+    blocks = lambda n, s: F.ceil(F.greatest(n / BLOCK, F.col(s) / BLOCK_SHINGLES)).cast("int")
+    named = named.join(weight, "key").withColumns({"of_rest": blocks(F.col("n") - F.col("main"), "rest_s"), "of_main": blocks(F.col("main"), "main_s"), "spot": F.xxhash64("id", F.lit(1))})
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     own = lambda n: F.pmod("spot", F.col(n)).cast("int")
-    main = F.transform(every("of_rest"), lambda j: F.struct(F.lit(1).alias("kind"), j.alias("i"), own("of_main").alias("j"), F.lit(1).alias("side")))
-    among = F.transform(every("of_rest"), lambda j: F.struct(F.lit(0).alias("kind"), F.least(own("of_rest"), j).alias("i"), F.greatest(own("of_rest"), j).alias("j"), F.lit(0).alias("side")))
-    against = F.transform(every("of_main"), lambda j: F.struct(F.lit(1).alias("kind"), own("of_rest").alias("i"), j.alias("j"), F.lit(0).alias("side")))
-    placed = named.select("key", "id", "component", F.explode(F.when(F.col("component") == F.col("most"), main).otherwise(F.concat(among, against))).alias("at"))
-    placed = placed.select("key", "id", "component", "at.kind", "at.i", "at.j", "at.side").join(classes.select("id", "n_shingles", "registers"), "id")
-
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        m = BANDS * ROWS
-        part = part.drop_duplicates("id")
-        r = np.frombuffer(b"".join(part["registers"]), dtype=np.uint16).reshape(-1, m)
-        n, c, ids, side = (part[k].to_numpy() for k in ("n_shingles", "component", "id", "side"))
-        found = []
-        two = part["kind"].iloc[0] == 1
-        for x in np.flatnonzero(side == 0):
-            y = np.flatnonzero(side == 1) if two else np.arange(x + 1, len(part))
-            y = y[(c[y] != c[x]) & (100 * np.minimum(n[y], n[x]) >= THRESHOLD * np.maximum(n[y], n[x]))]
-            same = (r[y] == r[x]).mean(axis=1)
-            for k in np.flatnonzero(same >= MAYBE):
-                found.append((same[k], int(ids[x]), int(ids[y[k]]), int(c[x]), int(c[y[k]])))
-        if forest:
-            found.sort(key=lambda e: (-e[0], *e[1:]))
-            top: dict[int, int] = {}
-
-            def root(v):
-                while top.get(v, v) != v:
-                    v = top[v]
-                return v
-
-            kept = []
-            for e in found:
-                u, v = root(e[3]), root(e[4])
-                if u != v:
-                    top[max(u, v)] = min(u, v)
-                    kept.append(e)
-            found = kept
-        return pd.DataFrame({"a": [max(e[1], e[2]) for e in found], "b": [min(e[1], e[2]) for e in found]}, dtype="int64")
-
-    return placed.groupBy("key", "kind", "i", "j").applyInPandas(compare, GROUP).distinct()
+    at = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    main = F.transform(every("of_rest"), lambda k: at(1, k, own("of_main"), F.lit(1)))
+    among = F.transform(every("of_rest"), lambda k: at(0, F.least(own("of_rest"), k), F.greatest(own("of_rest"), k), own("of_rest") > k))
+    against = F.transform(every("of_main"), lambda k: at(1, own("of_rest"), k, F.lit(0)))
+    placed = named.select("key", "band", "id", "component", "n_shingles", "registers", F.explode(F.when(of_main, main).otherwise(F.concat(among, against))).alias("at"))
+    return placed.select("key", "at.kind", "at.i", "at.j", "at.side", "band", "id", "component", "n_shingles", "registers")
+
+
+def possible(part: pd.DataFrame) -> list[tuple[float, int, int]]:
+    """(share of equal registers, x, y): rows of a pair of blocks that may be linked, of different components, in the first band that they share."""
+    r = np.frombuffer(b"".join(part["registers"]), dtype=np.uint16).reshape(-1, BANDS * ROWS)
+    n, c, side = (part[k].to_numpy() for k in ("n_shingles", "component", "side"))
+    kind, i, j, band = (int(part[k].iloc[0]) for k in ("kind", "i", "j", "band"))
+    found, other = [], np.flatnonzero(side == 1)
+    for x in np.flatnonzero(side == 0):
+        y = other if kind == 1 or i != j else np.arange(x + 1, len(part))
+        y = y[(c[y] != c[x]) & (100 * np.minimum(n[y], n[x]) >= THRESHOLD * np.maximum(n[y], n[x]))]
+        equal = r[y] == r[x]
+        share = equal.mean(axis=1)
+        near = np.flatnonzero(share >= MAYBE)
+        first = equal[near].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+        found += [(float(share[k]), int(x), int(y[k])) for k in near[first == band]]
+    return found
+
+
+def forest(part: pd.DataFrame, found: list[tuple[float, int, int]], linked=None) -> list[tuple[int, int]]:
+    """Of the possible links, best first, the ids of those that unite components (and are linked)."""
+    c, ids, top = part["component"].tolist(), part["id"].tolist(), {}
+
+    def root(v):
+        while top.get(v, v) != v:
+            top[v] = v = top.get(top[v], top[v])
+        return v
+
+    kept = []
+    for _, x, y in sorted(found, key=lambda e: (-e[0], ids[e[1]], ids[e[2]])):
+        u, v = root(c[x]), root(c[y])
+        if u != v and (linked is None or linked(x, y)):
+            top[max(u, v)] = min(u, v)
+            kept.append((max(ids[x], ids[y]), min(ids[x], ids[y])))
+    return kept
+
+
+def pairs_of(kept: list[tuple[int, int]]) -> pd.DataFrame:
+    return pd.DataFrame({"a": [a for a, _ in kept], "b": [b for _, b in kept]}, dtype="int64")
+
+
+def likely(placed: DataFrame) -> DataFrame:
+    """(a, b): the best possible links between components, a forest in each pair of blocks."""
+    return placed.groupBy(*PLACE).applyInPandas(lambda part: pairs_of(forest(part, possible(part))), "a long, b long").distinct()
+
+
+def confirmed(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links by full sets, a forest in each pair of blocks. Texts go only where a member has a possible link."""
+
+    def meet(part: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted({k for _, x, y in possible(part) for k in (x, y)})
+        return part.iloc[rows][[*PLACE, "side", "band", "id", "component"]]
+
+    def check(part: pd.DataFrame) -> pd.DataFrame:
+        sets = shared(Shingler).sets(part["text"].tolist())
+
+        def linked(x, y):
+            both = len(sets[x]) + len(sets[y])
+            common = both - len(np.unique(np.concatenate((sets[x], sets[y]))))
+            return 100 * common >= THRESHOLD * (both - common)
+
+        return pairs_of(forest(part, possible(part), linked))
+
+    involved = placed.groupBy(*PLACE).applyInPandas(meet, "key long, kind int, i int, j int, side int, band int, id long, component long")
+    return involved.join(texts, "id").groupBy(*PLACE).applyInPandas(check, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,13 +262,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id")
     texts = written(texts.select(*PAIR), "texts")
     labels = components(linked(star, texts))
-    for forest in (True, False):
-        more = written(left_over(members, labels, classes, forest), "pairs")
-        if more.isEmpty():
-            break
-        fresh = written(linked(more, texts), "confirmed")
-        if not fresh.isEmpty():
-            labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(fresh))
+    more = lambda found: components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found))
+    fresh = written(linked(written(likely(left_over(members, labels, classes)), "pairs"), texts), "confirmed")
+    if not fresh.isEmpty():
+        labels = more(fresh)
+    fresh = written(confirmed(left_over(members, labels, classes), texts), "confirmed")
+    if not fresh.isEmpty():
+        labels = more(fresh)
     named = classes.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     rows = base.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component"))
