@@ -170,7 +170,9 @@ def left_over(members: DataFrame, labels: DataFrame, classes: DataFrame) -> Data
     among = F.transform(every("of_rest"), lambda k: at(0, F.least(own("of_rest"), k), F.greatest(own("of_rest"), k), own("of_rest") > k))
     against = F.transform(every("of_main"), lambda k: at(1, own("of_rest"), k, F.lit(0)))
     placed = named.select("key", "band", "id", "component", "n_shingles", "registers", F.explode(F.when(of_main, main).otherwise(F.concat(among, against))).alias("at"))
-    return placed.select("key", "at.kind", "at.i", "at.j", "at.side", "band", "id", "component", "n_shingles", "registers")
+    placed = placed.select("key", "at.kind", "at.i", "at.j", "at.side", "band", "id", "component", "n_shingles", "registers")
+    # Else the pairs of blocks of a bucket would stay together, as the joins by key left them.
+    return placed.repartition(*PLACE)
 
 
 def possible(part: pd.DataFrame) -> list[tuple[float, int, int]]:
