@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import scratch_path, table
+from tidemark.llm.common import scratch_path, table, written
 
 #: Longest block of one record, longest chunk of the transfer framing, and records of one file:
 #: a file holds at most RECORDS * (SEGMENT + 1 KB), about 37 MB before compression.
@@ -211,7 +211,8 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
     pages = reassembled(read_records(spark, path))
     pages = pages.select("record_id", "refers_to", "whole", F.octet_length("payload").cast("long").alias("payload_bytes"), F.col("digest").alias("payload_digest"))
-    # A revisit's length is its response's; only digests and lengths move here.
+    # A revisit's length is its response's. Only digests and lengths are kept, so that both sides of the join read the archives once.
+    pages = written(pages, "warc_pages")
     of = pages.where("refers_to is null").select(F.col("record_id").alias("response"), F.col("payload_bytes").alias("response_bytes"))
     rows = pages.join(of, pages["refers_to"] == of["response"], "left")
     page_id = lambda name: F.split_part(F.col(name), F.lit(":"), F.lit(3)).try_cast("long")
