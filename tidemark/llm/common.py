@@ -38,6 +38,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def slices(batches, rows: int = 1_024):
+    """Arrow batches in parts: a worker holds the texts and results of so many rows at once."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def drop_written(df: DataFrame) -> None:
     """Deletes the files of a written() table that no later plan reads."""
     path = getattr(df, "_tidemark_path", None)

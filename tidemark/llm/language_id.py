@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import slices, table
 from tidemark.llm.tokens import shared
 
 DIMENSIONS = 1_024
@@ -105,7 +105,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
     def add(batches):
         p = shared(Profiles)
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, hi in groups(texts):
                 by: dict[str, list] = {}
@@ -138,7 +138,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
 
     def identify(batches):
         p, w = shared(Profiles), weights.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("__text").to_pylist()
             lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             for lo, hi in groups(texts) if w is not None else ():

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import drop_written, table, written
+from tidemark.llm.common import drop_written, slices, table, written
 from tidemark.llm.shingles import SetSketch, Shingler
 from tidemark.llm.tokens import shared
 
@@ -47,7 +47,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches):
         sets, sketch = shared(Shingler), shared(SetSketch, BANDS * ROWS)
-        for batch in batches:
+        for batch in slices(batches):
             found = sets.sets(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [

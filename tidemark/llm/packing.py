@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, written
+from tidemark.llm.common import slices, table, written
 from tidemark.llm.tokens import ChunkIds, shared, word_ids
 
 TOKENIZER = "word_bpe_49k.json"
@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, max_len:
 
     def run(batches):
         ids = shared(ChunkIds, tokenizer, False, True)
-        for batch in batches:
+        for batch in slices(batches):
             keys, at, start, data, total = batch.column(0), [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 got = word_ids(text or "", ids) + end

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import slices, table
 from tidemark.llm.tokens import CACHE_CHUNK_BYTES, ByteCounts, byte_chunks, shared
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -67,7 +67,7 @@ def count_tokens(
 
     def run(batches):
         counts, known = shared(ByteCounts, tokenizer), table_.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n = counts.count(texts, known)
             yield pa.RecordBatch.from_arrays(

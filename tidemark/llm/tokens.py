@@ -17,11 +17,12 @@ from __future__ import annotations
 import os
 import re
 import struct
+from functools import lru_cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries of each of a worker's two generations of cached chunks, and the longest chunk it keeps.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 CACHE_CHUNK_BYTES = 96
 
 _BYTE_CHUNK = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
@@ -29,20 +30,15 @@ _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
 _PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 _SAFE_CUT = re.compile(r"(?<=[!-~])(?= [!-~])")
 
-_TOKENIZERS: dict = {}
-
-
+@lru_cache(maxsize=1)
 def tokenizer(name: str, plain_specials: bool = False):
-    """The library's tokenizer, loaded once per process."""
-    key = (name, plain_specials)
-    if key not in _TOKENIZERS:
-        import public_tokenizers
-        from tokenizers import Tokenizer
+    """The library's tokenizer."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(name if os.path.isabs(name) else public_tokenizers.path(name))
-        t.encode_special_tokens = plain_specials
-        _TOKENIZERS[key] = t
-    return _TOKENIZERS[key]
+    t = Tokenizer.from_file(name if os.path.isabs(name) else public_tokenizers.path(name))
+    t.encode_special_tokens = plain_specials
+    return t
 
 
 def byte_chunks(text: str, specials: tuple[str, ...]) -> list[str]:
@@ -197,11 +193,17 @@ def word_ids(text: str, ids: ChunkIds) -> bytes:
 
 
 _SHARED: dict = {}
+#: Objects that a worker keeps: no operator needs more at once.
+KEPT = 2
 
 
 def shared(kind, *args):
-    """One object of a kind per worker process, kept from task to task."""
+    """One object of a kind per worker process, kept from task to task until KEPT others were asked for."""
     key = (kind, *args)
-    if key not in _SHARED:
-        _SHARED[key] = kind(*args)
-    return _SHARED[key]
+    found = _SHARED.pop(key, None)
+    if found is None:
+        while len(_SHARED) >= KEPT:
+            del _SHARED[next(iter(_SHARED))]
+        found = kind(*args)
+    _SHARED[key] = found
+    return found
