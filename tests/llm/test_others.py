@@ -45,6 +45,22 @@ def test_live_values_are_found_bare_and_examples_are_not(spark):
     assert text[2] == "see [SECRET] here" and text[1] == '[SECRET]"' and text[3] == rows[2][1]
 
 
+def test_bare_places_count_for_ownership_and_parts_of_runs_are_found(spark):
+    copied, live, odd = "exampleexample01", "hunter2hunter2x9", "ab/cdefgh1234567/x9=="
+    rows = [(1, f'password = "{copied}"', "en", "a", 0), (2, f'password = "{live}"', "en", "a", 0), (3, f'password = "{odd}"', "en", "a", 0)]
+    rows += [(10 + i, f"see {copied} here", "en", f"s{i}", 0) for i in range(5)]
+    rows += [(20, f"x auth={live} y", "en", "b", 0), (21, f"/path/{live}", "en", "b", 0), (22, f"/{live}/more?auth={live}==", "en", "b", 0), (23, f"auth={odd} z", "en", "b", 0), (24, f"{odd} z", "en", "b", 0)]
+    got = {r.doc_id: r.s for r in secret_scan.scan(frame(spark, rows)).select("doc_id", secret_scan.span_text("spans").alias("s")).collect()}
+    assert [got[i] for i in range(10, 15)] == [""] * 5
+    assert got[20] == "corpus:7:23" and got[21] == "corpus:6:22"
+    assert got[22] == "corpus:1:17,corpus:28:46"
+    assert got[23] == "corpus:5:26" and got[24] == "corpus:0:21"
+    found = secret_scan.scanned(frame(spark, rows), "doc_id", "text", "source", None)
+    kinds = {r.hash: (r.places, r.owners, r["class"]) for r in secret_scan.ownership(found).collect()}
+    h = lambda v: hashlib.sha256(v.rstrip(".=-").encode()).hexdigest()
+    assert kinds == {h(copied): (6, 6, "example"), h(live): (5, 2, "live"), h(odd): (3, 2, "live")}
+
+
 # --- mixing
 
 

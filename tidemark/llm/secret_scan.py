@@ -1,10 +1,12 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame functions only.
 
 Patterns find candidate spans in each text. Hashes of the candidates' values are
-aggregated by distinct repository and owner over the whole corpus: a value that
-many owners hold is a widely copied example; one that few owners hold and that
-looks random is live. A live value is then also reported where it stands bare,
-without the context that the patterns need (kind ``corpus``).
+aggregated by distinct repository and owner over the whole corpus, with the
+places where these values stand bare: a value that many owners hold is a widely
+copied example; one that few owners hold and that looks random is live. A live
+value is then also reported where it stands bare, without the context that the
+patterns need (kind ``corpus``): as a run of its characters, as a run's part
+after its first =, or as one between = and /.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ KINDS = {
 #: Bare runs that can be a known value elsewhere.
 BARE = r"[A-Za-z0-9+/_.=-]{15,}[A-Za-z0-9+/_=]"
 BARE_LEAST = 16
+#: Parts of a bare run between = and /.
+PIECE = r"[A-Za-z0-9+_.-]{15,}[A-Za-z0-9+_]"
 #: A value with at least so many owners is a widely copied example.
 EXAMPLE_OWNERS = 3
 
@@ -72,19 +76,44 @@ def scanned(docs: DataFrame, id_col: str, text_col: str, owner_col: str, reposit
     )
 
 
+def trimmed(value: Column) -> Column:
+    return F.regexp_replace(value, r"[.=-]+$", "")
+
+
 def value_hash(value: Column) -> Column:
-    return F.sha2(F.regexp_replace(value, r"[.=-]+$", ""), 256)
+    return F.sha2(trimmed(value), 256)
+
+
+def bare_places(found: DataFrame) -> DataFrame:
+    """A row for each place outside base spans where a bare value may stand: runs, their parts after the first =, and those between = and /."""
+    runs = found.where(F.size("__bare") > 0).select("__id", "__text", "__owner", "__repository", "__base", F.explode("__bare").alias("s"))
+    run, first = F.col("s.value"), F.instr("s.value", "=")
+    part = lambda shift, value: F.struct((F.col("s.start") + shift).alias("start"), F.col("s.rank").alias("rank"), (F.col("s.start") + shift + F.length(value)).alias("end"), F.col("s.kind").alias("kind"), value.alias("value"))
+    rest = run.substr(first + 1, F.length(run))
+    one = F.array(F.col("s").cast(SPAN), part(first, rest).cast(SPAN))
+    pieces = F.transform(spans_of(run, PIECE, 0, BARE_LEAST, len(KINDS), "corpus"), lambda p: part(p["start"], p["value"]).cast(SPAN))
+    # A part that differs from the run, or from its rest, in trailing padding only is the same place.
+    fresh = F.filter(pieces, lambda p: ~((p["start"] == F.col("s.start")) & (trimmed(p["value"]) == trimmed(run))) & ~((p["start"] == F.col("s.start") + first) & (trimmed(p["value"]) == trimmed(rest))))
+    every = F.when(run.rlike("[=/]"), F.concat(F.when(first > 0, one).otherwise(F.slice(one, 1, 1)), fresh)).otherwise(F.slice(one, 1, 1))
+    places = runs.select("__id", "__text", "__owner", "__repository", "__base", F.explode(F.filter(every, lambda p: looks_random(p["value"]))).alias("s"))
+    places = places.where(~F.exists("__base", lambda b: (b["start"] < F.col("s.end")) & (F.col("s.start") < b["end"])))
+    return places.select("__id", "__text", "__owner", "__repository", "s", value_hash(F.col("s.value")).alias("hash"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """By hash of a candidate value: places, repositories, owners and class (example, live or weak).
+    """By hash of a candidate value: places (in base spans and bare), repositories, owners and class (example, live or weak).
 
     Counted key by key with partial sums first: a value in a third of all rows is
-    a few rows for each task before anything is shuffled.
+    a few rows for each task before anything is shuffled. Bare values that no
+    base span has are dropped after these sums.
     """
+    keys = ("hash", "__owner", "__repository")
     one = found.select("__owner", "__repository", F.explode("__base.value").alias("value"))
     one = one.select("__owner", "__repository", value_hash(F.col("value")).alias("hash"), looks_random(F.col("value")).alias("random"))
-    by_repository = one.groupBy("hash", "__owner", "__repository").agg(F.count(F.lit(1)).alias("n"), F.max("random").alias("random"))
+    base = one.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("random").alias("random"))
+    bare = bare_places(found).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.lit(False).alias("random"))
+    bare = bare.join(base.select("hash").distinct(), "hash", "left_semi")
+    by_repository = base.unionByName(bare).groupBy(*keys).agg(F.sum("n").alias("n"), F.max("random").alias("random"))
     by_owner = by_repository.groupBy("hash", "__owner").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("r"), F.max("random").alias("random"))
     by_hash = by_owner.groupBy("hash").agg(F.sum("n").alias("places"), F.sum("r").alias("repositories"), F.count(F.lit(1)).alias("owners"), F.max("random").alias("random"))
     kind = F.when(F.col("owners") >= EXAMPLE_OWNERS, "example").when(F.col("random"), "live").otherwise("weak")
@@ -92,11 +121,11 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def added_spans(found: DataFrame, owners: DataFrame) -> DataFrame:
-    """By id and text: the bare places of live values outside all base spans, and none for rows without."""
+    """By id and text: the bare places of live values outside all base spans, and none for rows without. Of places one in the other, the longer."""
     live = owners.where(F.col("class") == "live").select("hash")
-    bare = found.where(F.size("__bare") > 0).select("__id", "__text", "__base", F.explode("__bare").alias("s")).withColumn("hash", value_hash(F.col("s.value")))
-    bare = bare.where(~F.exists("__base", lambda b: (b["start"] < F.col("s.end")) & (F.col("s.start") < b["end"])))
-    return bare.join(live, "hash", "left_semi").groupBy("__id", "__text").agg(F.collect_set("s").alias("__added"))
+    added = bare_places(found).join(live, "hash", "left_semi").groupBy("__id", "__text").agg(F.collect_set("s").alias("__all"))
+    inside = lambda s, o: (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])
+    return added.select("__id", "__text", F.filter("__all", lambda s: ~F.exists("__all", lambda o: inside(s, o))).alias("__added"))
 
 
 def span_text(spans: Column) -> Column:
