@@ -24,10 +24,11 @@ LEAST_SCORE = 0.1
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter (null and empty ones too) and long texts that are like no known language."""
+    """Rejects texts without a letter (null and empty ones too) and long texts that are like no known language. Where none was learnt, texts with a letter stay."""
     found = identified(docs)
     unlike = (F.length("text") >= LONG_TEXT) & (F.col("score") < LEAST_SCORE)
-    return found.where((F.col("lang_pred") != UNKNOWN) & ~unlike).select(*docs.columns)
+    kept = F.when(F.col("lang_pred") == UNKNOWN, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).otherwise(~unlike)
+    return found.where(kept).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

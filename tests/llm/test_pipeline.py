@@ -41,3 +41,8 @@ def test_run_on_a_folder(spark, tmp_path):
     frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     got = P.run(spark, str(tmp_path))
     assert got.count() > 0 and "sequence_id" in got.columns
+
+
+def test_texts_stay_where_no_language_was_learnt(spark):
+    rows = [(1, "some words " * 30, None, "s", 0), (2, "Ère", None, "s", 0), (3, "123 !", None, "s", 0), (4, None, None, "s", 0), (5, "", None, "s", 0)]
+    assert sorted(r.doc_id for r in P.language(spark, frame(spark, rows), "").collect()) == [1, 2]
