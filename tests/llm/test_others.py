@@ -245,43 +245,3 @@ def test_fingerprint_selection_and_edit_order():
     swapped = a[half:] + a[:half]
     f = fingerprints.fingerprint
     assert fingerprints.likeness(f(a), f(swapped)) < 0.75 < fingerprints.likeness(f(a), f(a[:-5]))
-
-
-# --- media
-
-
-def test_edited_copies_are_linked(spark):
-    r = np.random.default_rng(1)
-    rows = [(i, [float(x) for x in r.normal(size=64)]) for i in range(60)] + [(70, None), (71, [])]
-    images = media.pictures(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
-    extra = spark.createDataFrame([(80, None), (81, bytearray(b"not an image")), (82, bytearray(b"not an image"))], "image_id long, image binary")
-    got = {x.image_id: x for x in media.image_copies(images.unionByName(extra), "image_id", "image").collect()}
-    for i in range(0, 60, 10):
-        assert got[i].component_id == got[-1 - i].component_id
-    for i in range(60):
-        if i % 10:
-            assert got[i].component_id == i
-    assert got[82].component_id == 81 and got[80].component_id == 80 and got[80].n_corners == 0
-    assert media.image_copies(extra.limit(0), "image_id", "image").collect() == []
-
-
-@pytest.mark.parametrize("block", [media.BLOCK, 300])
-def test_links_against_brute_force_in_crowded_buckets(spark, monkeypatch, block):
-    """A group of unequal copies, and unrelated images whose descriptors share their first word with all others."""
-    monkeypatch.setattr(media, "BLOCK", block)
-    r = np.random.default_rng(7)
-    n, copies, others = 7, 250, 400
-    places = [media.packed_corner(20.0 + 9 * c, 30.0 + 5 * (c % 3), 1, 0.0) for c in range(n)]
-    one = r.integers(0, 2, (n, media.BITS), dtype=np.uint8)
-    bits = np.concatenate([np.repeat(one[None], copies, axis=0), r.integers(0, 2, (others, n, media.BITS), dtype=np.uint8)])
-    for x in bits[:copies]:
-        for c in range(n):
-            x[c, r.choice(media.BITS, r.integers(0, 6), replace=False)] ^= 1
-    bits[copies:, :, :32] = one[0, :32]
-    words = np.packbits(bits, axis=2).view(np.int32)
-    rows = [(int(i) - 50, places, words[i].tolist()) for i in range(len(words))]
-    got = {(x.a, x.b) for x in media.image_links(spark.createDataFrame(rows, "id long, corners array<long>, words array<array<int>>")).collect()}
-    apart = (bits[:, None, :, :].astype(bool) ^ bits[None, :copies, :, :].astype(bool)).sum(axis=3)
-    near = (apart <= 5).sum(axis=2) >= media.LEAST
-    want = {(int(a) - 50, int(b) - 50) for b, a in zip(*np.nonzero(near), strict=True) if a < b}
-    assert 1000 < len(want) < copies * (copies - 1) // 2 and got == want
