@@ -1,4 +1,8 @@
-"""Intermediate tables in the cluster's shared folder: they cut lineage and outlive executors."""
+"""Intermediate tables in the cluster's shared folder: they cut lineage and outlive executors.
+
+All tables of an application are below one folder, which ``clean`` removes when
+no result of it is read any more; ``drop_written`` removes one earlier.
+"""
 
 from __future__ import annotations
 
@@ -9,16 +13,45 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a temporary one of this machine."""
+    """The folder in spark.checkpoint.dir. Where it is unset, a temporary one of this machine serves a local session; a cluster needs the setting."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def folder(spark: SparkSession) -> str:
+    """Where this application's tables are."""
+    return f"{root(spark)}/tidemark/{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, read from a table it was written to."""
-    path = f"{root(df.sparkSession)}/tidemark/{name}-{uuid.uuid4().hex}"
+    """The rows of df, from a table they were written to."""
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tidemark_path = path
+    return out
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop_written(df: DataFrame) -> None:
+    """Deletes the files of a written() table that no later plan reads."""
+    if path := getattr(df, "_tidemark_path", None):
+        removed(df.sparkSession, path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables that this application wrote. Results that still read them are lost."""
+    removed(spark, folder(spark))
