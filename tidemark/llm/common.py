@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.store import drop_written, scratch_path, written
+
+__all__ = ["WORD", "drop_written", "scratch_path", "slices", "table", "written"]
+
 #: What the contracts call a word: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -15,40 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; where none is set (tests), a temporary one of this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df from a table in the shared folder: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tidemark_path = path
-    return out
-
-
 def slices(batches, rows: int = 1_024):
     """Arrow batches in parts: a worker holds the texts and results of so many rows at once."""
     for batch in batches:
         for at in range(0, len(batch), rows):
             yield batch.slice(at, rows)
-
-
-def drop_written(df: DataFrame) -> None:
-    """Deletes the files of a written() table that no later plan reads."""
-    path = getattr(df, "_tidemark_path", None)
-    if path:
-        jvm, jsc = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(jsc.hadoopConfiguration()).delete(at, True)

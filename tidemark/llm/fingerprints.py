@@ -14,10 +14,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import slices, table, written
+from tidemark.llm.shingles import mixed
 
 K = 8
 SLOT_BITS = 6
@@ -26,17 +28,10 @@ TUPLE = 2
 #: An entry is four hexadecimal digits; 0000 is a slot without elements.
 DIGITS = 4
 
-_M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A full mix of 64-bit numbers (splitmix64's finisher)."""
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
 def kmer_hashes(cp: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of every run of k code points; of the whole where there are fewer."""
     k = min(k, len(cp))
@@ -102,63 +97,72 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(part, tail, id, text): rows by ascending id in parts of about equal size, each part followed by the first row
-    of the next (tail 1), the last part by the first row of all.
+FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: What a range hands over: its first row's text (end 0), and its last row (end 1), whose next stands in another range.
+EDGE = ", end int, part int, text string, mark string"
 
-    Bounds are quantiles of the ids; the driver sees those and the least id of each part.
-    """
-    spark = docs.sparkSession
-    n = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), key.alias("key"))
-    bounds = sorted(set(docs.select(key.alias("key")).approxQuantile("key", [i / n for i in range(1, n)], 0.2 / n) or []))
-    inside = F.array(*[F.lit(int(b)) for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    part = F.size(F.filter(inside, lambda b: b <= F.col("key")))
-    least = {r.part: r.key for r in rows.select("key", part.alias("part")).groupBy("part").agg(F.min("key").alias("key")).collect()}
-    order = sorted(least)
-    before = spark.createDataFrame([(p, order[i - 1], least[p]) for i, p in enumerate(order)], "part int, before int, least long")
-    rows = rows.withColumn("part", part).join(F.broadcast(before), "part")
-    own, tail = F.struct("part", F.lit(0).alias("tail")), F.struct(F.col("before").alias("part"), F.lit(1).alias("tail"))
-    rows = rows.select("id", "key", "text", F.explode(F.when(F.col("key") == F.col("least"), F.array(own, tail)).otherwise(F.array(own))).alias("to"))
-    rows = rows.select("to.part", "to.tail", "id", "key", "text")
-    return rows.repartition("part").sortWithinPartitions("part", "tail", "key", "text").select("part", "tail", "id", "text")
 
+def batch_of(rows: list[tuple], fields: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+    names, types = zip(*(f.split() for f in fields.split(", ")), strict=True)
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[t]) for c, t in zip(columns, types, strict=True)], names=list(names))
 
-FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+def compared(key, own: str, own_mark: str, text: str, mark: str, k: int) -> tuple:
+    """The row of a document whose next one has this text and fingerprint."""
+    new = edited(own, text)
+    new_mark = own_mark if new == own else fingerprint(new, k)
+    return key, len(own), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), own_mark, new_mark, likeness(own_mark, new_mark), likeness(own_mark, mark)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """Each row's fingerprint, its edited text's, and their likeness, and that to the next document's.
 
     The next document is the one of the next id (rows with one id stand in order
-    of text; null ids come first), after the last the first; a single document
-    follows itself. A null text is empty. Repeated rows each give a row. Other
+    of a hash of their texts; null ids come first), after the last the first; a
+    single document follows itself. A null text is empty. Repeated rows each give
+    a row. A text of any length is fingerprinted whole, one at a time. Other
     columns are ignored. An empty table gives no rows.
+
+    Rows are dealt into ranges of (id, hash), so that many rows of one id, or
+    without one, are dealt too. A range compares its own neighbours and hands its
+    first and last row over: two rows a range, joined by range number.
     """
+    spark = docs.sparkSession
+    fields = FIELDS + EDGE
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    ranges = rows.repartitionByRange(3 * int(spark.conf.get("spark.sql.shuffle.partitions")), F.asc_nulls_first("id"), "hash").sortWithinPartitions(F.asc_nulls_first("id"), "hash")
 
     def run(batches):
-        last = None  # (part, id, text, fingerprint) of a row whose next has not come yet
-        for batch in batches:
+        part, last = TaskContext.get().partitionId(), None
+        for batch in slices(batches):
             out = []
-            for part, tail, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if tail and (last is None or last[0] != part):
-                    continue  # rows that share the first id: only the first of them follows
+            for key, text in zip(*(c.to_pylist() for c in batch.columns[:2]), strict=True):
                 mark = fingerprint(text, k)
-                if last is not None and last[0] == part:
-                    out.append(row(last, text, mark))
-                last = None if tail else (part, key, text, mark)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            columns = list(zip(*out, strict=True)) if out else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in FIELDS.split(", ")])
-
-    def row(of, text, mark):
-        _, key, own, own_mark = of
-        new = edited(own, text)
-        new_mark = own_mark if new == own else fingerprint(new, k)
-        return key, len(own), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), own_mark, new_mark, likeness(own_mark, new_mark), likeness(own_mark, mark)
-
-    return in_order(docs, id_col, text_col).mapInArrow(run, FIELDS)
+                if last is None:
+                    out.append((*[None] * 7, 0, part, text, mark))
+                else:
+                    out.append((*compared(*last, text, mark, k), None, None, None, None))
+                last = key, text, mark
+            yield batch_of(out, fields)
+        if last is not None:
+            yield batch_of([(last[0], *[None] * 6, 1, part, *last[1:])], fields)
+
+    done = written(ranges.mapInArrow(run, fields), "fingerprints")
+    first, final = done.where("end = 0"), done.where("end = 1")
+    # One row a range: its number and the number of the next range that has rows.
+    order = Window.orderBy("part")
+    follows = first.select("part").withColumn("next", F.coalesce(F.lead("part").over(order), F.min("part").over(Window.partitionBy())))
+    edges = final.join(follows, "part").join(first.select(F.col("part").alias("next"), F.col("text").alias("next_text"), F.col("mark").alias("next_mark")), "next")
+
+    def join(batches):
+        for batch in slices(batches, 16):
+            yield batch_of([compared(*x, k) for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)], FIELDS)
+
+    ends = edges.select("doc_id", "text", "mark", "next_text", "next_mark").mapInArrow(join, FIELDS)
+    return done.where("end is null").select(*[f.split()[0] for f in FIELDS.split(", ")]).unionByName(ends)
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
