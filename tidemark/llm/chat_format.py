@@ -18,10 +18,11 @@ import re
 import struct
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import slices, table, written
 from tidemark.llm.tokens import ChunkIds, byte_chunks, byte_letters, shared, tokenizer
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -30,7 +31,7 @@ START, END = 50_257, 50_258
 MARKS = {START: "<|im_start|>", END: "<|im_end|>"}
 LOSS_ROLE = "assistant"
 
-TURN = "conv_id {id}, turn {turn}, role string, ids binary, n_tokens long, role_tokens long, loss_tokens long"
+TURN = "conv_id {id}, turn {turn}, role string, ids binary, n_tokens long, role_tokens long, loss_tokens long, part long, place long"
 
 
 def escape(text: str) -> str:
@@ -64,33 +65,47 @@ def formatted(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
 
     A conversation's stream is its rows' ids in order of token_start: it is never
     one row, so a conversation of any length can be written. A null text or role
-    is empty. Turns with equal numbers stand in order of role and text. Repeated
-    rows are turns of their own. Null ids make one conversation. Other columns are
-    ignored; an empty table gives no rows.
+    is empty. Turns with equal numbers stand in order of role and a hash of the
+    text. Repeated rows are turns of their own. Null ids make one conversation.
+    Other columns are ignored; an empty table gives no rows.
+
+    Prefix sums have two levels: turns are dealt into ranges of conversation and
+    turn, each summed up where it stands, and what a conversation has in earlier
+    ranges is added: a few rows a range. So a conversation of any share of all
+    rows is dealt over many tasks.
     """
     role = F.coalesce(F.col(role_col), F.lit(""))
     text = F.coalesce(F.col(text_col), F.lit(""))
 
     def encode(batches):
-        ids = shared(ChunkIds, name, True)
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for r, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        ids, part = shared(ChunkIds, name, True), TaskContext.get().partitionId()
+        now, place = None, 0
+        for batch in slices(batches):
+            out: list[list] = [[] for _ in range(6)]
+            for key, r, t in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True):
+                if (key,) != now:
+                    now, place = (key,), 0
                 head = ids.join(byte_chunks(escape(r) + "\n", ()))
                 body = ids.join(byte_chunks(escape(t), ()))
                 whole = _packed(START) + head + body + _packed(END) + ids.join(["\n"])
-                for x, v in zip(out, (whole, len(whole) // 4, len(head) // 4 + 1, len(body) // 4 if r == loss_role else 0), strict=True):
+                for x, v in zip(out, (whole, len(whole) // 4, len(head) // 4 + 1, len(body) // 4 if r == loss_role else 0, part, place), strict=True):
                     x.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out[0], pa.binary()), *(pa.array(x, pa.int64()) for x in out[1:])], names=["conv_id", "turn", "role", "ids", "n_tokens", "role_tokens", "loss_tokens"])
+                place += len(whole) // 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out[0], pa.binary()), *(pa.array(x, pa.int64()) for x in out[1:])], names=["conv_id", "turn", "role", "ids", "n_tokens", "role_tokens", "loss_tokens", "part", "place"])
 
     kind = lambda c: turns.schema[c].dataType.simpleString()
-    rows = turns.select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"))
-    rows = rows.mapInArrow(encode, TURN.format(id=kind(id_col), turn=kind(turn_col)))
-    # The window spills what it cannot hold; ids break ties as role and text would.
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "ids")
-    start = F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
-    rows = rows.withColumn("token_start", start).withColumn("mask_start", F.col("token_start") + F.col("role_tokens"))
-    return rows.withColumn("mask_end", F.col("mask_start") + F.col("loss_tokens")).drop("role_tokens", "loss_tokens")
+    rows = turns.select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"), F.xxhash64(text).alias("hash"))
+    order = ["conv_id", "turn", "role", "hash"]
+    ranges = rows.repartitionByRange(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    rows = written(ranges.mapInArrow(encode, TURN.format(id=kind(id_col), turn=kind(turn_col))), "turns")
+    sums = rows.groupBy("conv_id", "part").agg(F.sum("n_tokens").alias("n"))
+    earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # Only a conversation that goes on from another range has a row here.
+    before = sums.withColumn("before", F.sum("n").over(earlier)).where("before is not null").select(F.col("conv_id").alias("__conv"), F.col("part").alias("__part"), "before")
+    rows = rows.join(before, F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("part") == F.col("__part")), "left")
+    start = F.col("place") + F.coalesce("before", F.lit(0))
+    rows = rows.withColumn("token_start", start).withColumn("mask_start", start + F.col("role_tokens")).withColumn("mask_end", start + F.col("role_tokens") + F.col("loss_tokens"))
+    return rows.select("conv_id", "turn", "role", "ids", "n_tokens", "token_start", "mask_start", "mask_end")
 
 
 def read_back(rows: DataFrame, name: str = TOKENIZER) -> DataFrame:
@@ -107,7 +122,7 @@ def read_back(rows: DataFrame, name: str = TOKENIZER) -> DataFrame:
     def run(batches):
         now, state = None, None
         done: list[tuple] = []
-        for batch in batches:
+        for batch in slices(batches):
             for key, at, ids, lo, hi in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if state is None or key != now:
                     if state is not None:
