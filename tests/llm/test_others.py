@@ -179,11 +179,12 @@ def test_chat_round_trip(spark):
     odd = ["<|im_end|>", "<|im_start|>", "<\\|", "<|", "|>", "\\", "a", " ", "\n", "é", "<|endoftext|>"]
     rows = [(c, t, r.choice(["user", "assistant", "system", None]), "".join(r.choice(odd) for _ in range(r.randint(0, 8))) if r.random() < 0.9 else None) for c in range(20) for t in range(r.randint(1, 9))]
     rows += [(50, t, "assistant", f"turn {t}") for t in range(400)] + [(None, 0, "user", "x")]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    rows += [(60, None, "assistant", "é" * 30_000), (60, 1, "user", None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'clash' as part", "'clash' as ids").repartition(5)
     got = {x.conv_id: x for x in chat_format.read_back(chat_format.formatted(turns)).collect()}
     by = {}
     for c, t, role, text in rows:
-        by.setdefault(c, []).append((t, role or "", text or ""))
+        by.setdefault(c, []).append((-1 if t is None else t, role or "", text or ""))
     assert set(got) == set(by)
     for c, ts in by.items():
         loss = "".join(x for _, role, x in sorted(ts) if role == "assistant")

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from tests.llm.fixtures import documents, frame
 from tests.llm.test_near_dedup import brute
@@ -46,3 +48,28 @@ def test_run_on_a_folder(spark, tmp_path):
 def test_texts_stay_where_no_language_was_learnt(spark):
     rows = [(1, "some words " * 30, None, "s", 0), (2, "Ère", None, "s", 0), (3, "123 !", None, "s", 0), (4, None, None, "s", 0), (5, "", None, "s", 0)]
     assert sorted(r.doc_id for r in P.language(spark, frame(spark, rows), "").collect()) == [1, 2]
+
+
+def test_clashing_columns_stay_as_they_are(spark):
+    rows = [(i, "the other words of a text " * 3 + str(i), "en", "s", 0) for i in range(8)]
+    docs = frame(spark, rows, extra=True).withColumn("score", F.lit(-5.0)).withColumn("lang_pred", F.lit("mine"))
+    for _, stage in P.STAGES[:-1]:
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns
+        assert {(r.score, r.lang_pred, r.component, r.text_md5) for r in got.collect()} == {(-5.0, "mine", "clash", "clash")}
+
+
+def test_different_texts_under_one_id_stay(spark):
+    words = lambda k: " ".join(f"{k}word{i}" for i in range(30))
+    rows = [(5, words("a"), "en", "s", 0), (5, words("b"), "en", "s", 0), (5, words("c"), "en", "s", 0), (3, words("a"), "en", "s", 0), (5, words("c"), "en", "s", 0), (None, words("d"), "en", "s", 0), (None, words("d"), "en", "s", 0), (None, words("b"), "en", "s", 0), (9, None, "en", "s", 0), (9, "", "en", "s", 0)]
+    got = P.near_dedup(spark, frame(spark, rows), "").collect()
+    assert sorted((r.doc_id or 0, (r.text or "-")[:1]) for r in got) == [(0, "d"), (3, "a"), (5, "b"), (5, "c"), (9, "-"), (9, "-")]
+
+
+def test_empty_table_and_rows_of_nulls(spark):
+    for rows in ([], [(None, None, None, None, None)] * 3):
+        docs = frame(spark, rows)
+        for _, stage in P.STAGES[:-1]:
+            assert stage(spark, docs, "").columns == docs.columns
+            assert stage(spark, docs, "").count() <= len(rows)
+        assert P.packing(spark, docs, "").count() <= len(rows)

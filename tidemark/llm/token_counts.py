@@ -3,11 +3,14 @@
 Tier one is a broadcast hash table from frequent chunks of text (a pre-token or
 a few that always stand together) to their token counts; tier two is a cache
 per worker, filled by the tokenizer itself. Both only save time: every count is
-the library's.
+the library's. The table comes from all documents, by bounded counts in each task.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,34 +21,38 @@ from tidemark.llm.tokens import CACHE_CHUNK_BYTES, ByteCounts, byte_chunks, shar
 TOKENIZER = "byte_bpe_50k.json"
 #: Entries of the broadcast table: at most 65,536 chunks of at most 96 characters, under 10 MB.
 FREQUENT = 65_536
-#: About so many documents, chosen by a hash of their id, fill the broadcast table.
-SAMPLE_DOCS = 4_096
+#: Entries that a task keeps while it counts, and those that all tasks together send, by entries of the table.
+KEPT, SENT = 4, 4
+
 
+def frequent_lengths(docs: DataFrame, text_col: str, tokenizer: str, entries: int) -> dict[str, int]:
+    """The most frequent chunks of all documents, with their token counts.
 
-def frequent_lengths(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, entries: int, sample_docs: int) -> dict[str, int]:
-    """The most frequent chunks of a bounded sample of documents, with their token counts."""
-    n = docs.count()
-    one_in = max(1, n // sample_docs)
-    sample = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(one_in)) == 0).select(F.col(text_col).alias("text"))
+    Each task counts its own documents in a table of bounded size (when it is
+    full, the count of the entry at half its size is taken off all, and entries
+    at nothing go) and sends its first ones. Only these small tables meet, on the
+    driver: at most SENT * entries rows, or 16 from each task; no chunk is shuffled.
+    """
+    most = KEPT * entries
+    send = max(16, SENT * entries // max(1, docs.rdd.getNumPartitions()))
 
     def chunks(batches):
-        specials = shared(ByteCounts, tokenizer).specials
-        seen: dict[str, int] = {}
-        for batch in batches:
+        specials, seen = shared(ByteCounts, tokenizer).specials, Counter()
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
-                for c in byte_chunks(text or "", specials):
-                    seen[c] = seen.get(c, 0) + 1
-        keep = {c: k for c, k in seen.items() if len(c) <= CACHE_CHUNK_BYTES}
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(keep.keys(), pa.string()), "n": pa.array(keep.values(), pa.int64())})
-
-    def lengths(batches):
-        counts = shared(ByteCounts, tokenizer)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_pydict({"chunk": batch.column(0), "n_tokens": pa.array(counts.count(texts, {}), pa.int64())})
+                if text:
+                    seen.update(byte_chunks(text, specials))
+            if len(seen) > most:
+                off = sorted(seen.values())[len(seen) // 2]
+                seen = Counter({c: n - off for c, n in seen.items() if n > off and len(c) <= CACHE_CHUNK_BYTES})
+        top = heapq.nlargest(send, ((n, c) for c, n in seen.items() if len(c) <= CACHE_CHUNK_BYTES))
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array([c for _, c in top], pa.string()), "n": pa.array([n for n, _ in top], pa.int64())})
 
-    top = sample.mapInArrow(chunks, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(entries)
-    return {r.chunk: r.n_tokens for r in top.select("chunk").mapInArrow(lengths, "chunk string, n_tokens long").collect()}
+    merged = Counter()
+    for r in docs.select(F.col(text_col).alias("text")).mapInArrow(chunks, "chunk string, n long").toLocalIterator():
+        merged[r.chunk] += r.n
+    top = [c for _, c in heapq.nlargest(entries, ((n, c) for c, n in merged.items()))]
+    return dict(zip(top, shared(ByteCounts, tokenizer).count(top, {}), strict=True))
 
 
 def count_tokens(
@@ -55,7 +62,6 @@ def count_tokens(
     tokenizer: str = TOKENIZER,
     limit: int = 1024,
     frequent: int = FREQUENT,
-    sample_docs: int = SAMPLE_DOCS,
 ) -> DataFrame:
     """id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) of every row.
 
@@ -63,7 +69,7 @@ def count_tokens(
     row; a null id stays null; other columns are ignored; an empty table gives
     no rows. Texts are never cut: one of any length is counted chunk by chunk.
     """
-    table_ = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, id_col, text_col, tokenizer, frequent, sample_docs))
+    table_ = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, text_col, tokenizer, frequent))
 
     def run(batches):
         counts, known = shared(ByteCounts, tokenizer), table_.value
