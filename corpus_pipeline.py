@@ -24,18 +24,29 @@ LEAST_SCORE = 0.1
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter (null and empty ones too) and long texts that are like no known language. Where none was learnt, texts with a letter stay."""
-    found = identified(docs)
+    """Rejects texts without a letter (null and empty ones too) and long texts that are like no known language.
+
+    Where none was learnt, texts with a letter stay. A column named like one of
+    the operator's own (lang_pred, score) stays as it is.
+    """
+    own = {c: f"__own_{c}" for c in ("lang_pred", "score") if c in docs.columns}
+    found = identified(docs.withColumnsRenamed(own))
     unlike = (F.length("text") >= LONG_TEXT) & (F.col("score") < LEAST_SCORE)
     kept = F.when(F.col("lang_pred") == UNKNOWN, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).otherwise(~unlike)
-    return found.where(kept).select(*docs.columns)
+    return found.where(kept).select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that of the least doc_id. Rows without an id stay."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One row of each group of near-duplicates stays, that of the least doc_id (a null one comes last).
+
+    Rows are told apart by a number of their own: two texts under one doc_id are
+    two rows, and each stays unless it is like another. Texts without words stay.
+    """
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(rows.select("__row", "text"), "__row").select(F.col("doc_id").alias("__row"), "component_id")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"]
+    kept = found.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(least.alias("__row")).select("__row")
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
