@@ -171,6 +171,38 @@ def test_broken_segments_are_told(spark):
         warc.unchunked(b"5\r\nab")
 
 
+def test_foreign_archives(spark, tmp_path):
+    import gzip
+
+    one = warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<a>"), ("WARC-Payload-Digest", f"sha1:{warc.digest_of(b'hello')}")], b"HTTP/1.1 200 OK\r\n\r\nhello") + b"\r\n\r\n"
+    two = one.replace(b"<a>", b"<b>")
+    no_length = b"WARC/1.1\r\nWARC-Type: response\r\n\r\na WARC/1.0 in a text\r\n\r\n"
+    (tmp_path / "members.warc.gz").write_bytes(gzip.compress(one) + b"\0" * 40 + gzip.compress(two))
+    (tmp_path / "plain.warc").write_bytes(b"\r\n" + one + no_length + two + one.replace(b"<a>", b"<c>")[:-9])
+    (tmp_path / "broken.gz").write_bytes(gzip.compress(one)[:-12] + b"xx" + gzip.compress(two))
+    (tmp_path / "nothing.warc").write_bytes(b"")
+    (tmp_path / "other.txt").write_bytes(b"no archive at all" * 100)
+    (tmp_path / "long.warc").write_bytes(one.replace(b"hello", b"x" * 3_000_000).replace(b"Content-Length: 24", b"Content-Length: 3000019"))
+    records = warc.read_records(spark, str(tmp_path))
+    got = {}
+    for r in records.collect():
+        got.setdefault(r.file.rsplit("/", 1)[1], []).append(r.error or (r.record_id, len(r.block)))
+    assert got["members.warc.gz"] == [("a", 24), ("b", 24)]
+    assert got["plain.warc"] == [("a", 24), "no content length", ("b", 24), "record is cut off"]
+    assert ("b", 24) in got["broken.gz"]
+    assert got["other.txt"] == ["no record begins here"] and "nothing.warc" not in got
+    assert got["long.warc"] == [("a", 3_000_019)]
+    assert {(x.record_id, x.whole) for x in warc.reassembled(records.where("file like '%members%'")).collect()} == {("a", True), ("b", True)}
+
+
+def test_warc_of_an_empty_table_and_other_columns(spark):
+    pages = spark.createDataFrame([(1, "u", "text", "x", 5)], "page_id long, url string, html string, name string, digest int")
+    for rows, n in ((pages, 1), (pages.limit(0), 0)):
+        path = scratch_path(spark, "warc_few")
+        warc.write_archives(rows, path)
+        assert warc.reassembled(warc.read_records(spark, path)).where("whole").count() == n
+
+
 # --- chat formatting
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import scratch_path, table, written
+from tidemark.llm.common import drop_written, scratch_path, slices, table, written
 
 #: Longest block of one record, longest chunk of the transfer framing, and records of one file:
 #: a file holds at most RECORDS * (SEGMENT + 1 KB), about 37 MB before compression.
@@ -32,6 +32,9 @@ CHUNK = 4_096
 RECORDS = 4_096
 DATE = "2026-01-01T00:00:00Z"
 CRLF = b"\r\n"
+GZIP = b"\x1f\x8b"
+#: Longest head of a record.
+MOST_HEADER = 1 << 16
 
 
 def digest_of(payload: bytes) -> str:
@@ -88,55 +91,97 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     Of equal payloads of at least ``least`` bytes, the row with the smallest id is
     the response (a null id comes last; of repeated rows, the first) and the others
     revisit it; shorter payloads are always responses. Null payloads are empty;
-    a null url leaves its header out.
+    a null url leaves its header out. Repeated rows are records of their own;
+    other columns are ignored; an empty table gives no record.
     """
     payload = F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8")
     name = F.concat(F.lit("urn:page:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.monotonically_increasing_id().cast("string"))
-    rows = pages.select(F.col(id_col).alias("page"), name.alias("name"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
+    # Names are given once and written: two branches of the plan below read them.
+    rows = written(pages.select(F.col(id_col).alias("page"), name.alias("name"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload")), "named_pages")
     first = rows.groupBy("digest").agg(F.min(F.struct(F.col("page").isNull(), "page", "name"))["name"].alias("first"))
     # Of a digest that holds a third of all pages, one row comes from each task; on the other side AQE splits it.
     told = rows.select("name", "url", "payload", "digest").join(first, "digest")
     refers = F.when((F.octet_length("payload") >= least) & (F.col("name") != F.col("first")), F.col("first"))
 
     def lay(batches):
-        for batch in batches:
+        for batch in slices(batches, 256):
             c = [x.to_pylist() for x in batch.columns]
             yield pa.RecordBatch.from_arrays([pa.array([r for row in zip(*c, strict=True) for r in page_records(*row, segment)], pa.binary())], names=["record"])
 
     laid = told.select("name", "url", "payload", refers.alias("refers")).mapInArrow(lay, "record binary")
     laid.select(F.col("record").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+    drop_written(rows)
 
 
-def parse(data: bytes):
-    """(headers by lower-case name, block) of every record of an archive's bytes."""
-    at, n = 0, len(data)
-    while True:
-        while data[at : at + 2] == CRLF:
-            at += 2
-        if at >= n:
-            return
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode("utf-8").split("\r\n")
-        if not version.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(headers["content-length"])
-        if end + 4 + size > n:
-            raise ValueError("record is cut off")
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+def parse(pieces):
+    """(headers by lower-case name, block, None) of every record of an archive's bytes, which come in pieces; at what is no whole record (None, None, what is wrong), and on with the next record.
 
-
-def gunzipped(data: bytes) -> bytes:
-    """All members of gzip bytes; other bytes as they are."""
-    if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data:
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(data) + d.flush())
-        data = d.unused_data
-    return b"".join(out)
+    Only the record at hand is held, and the pieces it lies in.
+    """
+    pieces, held, over = iter(pieces), bytearray(), False
+
+    def reach(n: int) -> bool:
+        nonlocal over
+        while len(held) < n and not over:
+            piece = next(pieces, None)
+            over = piece is None
+            held.extend(piece or b"")
+        return len(held) >= n
+
+    def skipped(why: str):
+        """Passes over bytes up to the next line that begins a record."""
+        at = 1
+        while True:
+            at = held.find(b"\nWARC/", max(0, at - 1))
+            if at >= 0:
+                del held[: at + 1]
+                return None, None, why
+            at = len(held) - 6
+            if not reach(len(held) + 1):
+                held.clear()
+                return None, None, why
+
+    while reach(1):
+        if held[0] in b"\r\n\0":
+            head = bytes(held[:64])
+            del held[: len(head) - len(head.lstrip(b"\r\n\0"))]
+            continue
+        end = held.find(b"\r\n\r\n", 0, MOST_HEADER)
+        if end < 0:
+            reach(MOST_HEADER)
+            end = held.find(b"\r\n\r\n", 0, MOST_HEADER)
+        version, *lines = bytes(held[: max(0, end)]).decode("utf-8", "replace").split("\r\n")
+        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        length = headers.get("content-length", "")
+        if not version.startswith("WARC/"):
+            yield skipped("no record begins here")
+        elif not (length.isascii() and length.isdigit()):
+            yield skipped("no content length")
+        elif not reach(end + 4 + int(length)):
+            yield skipped("record is cut off")
+        else:
+            yield headers, bytes(held[end + 4 : end + 4 + int(length)]), None
+            del held[: end + 4 + int(length)]
+
+
+def gunzipped(data: bytes, size: int = 1 << 20):
+    """Pieces of about size bytes of all members of gzip bytes, whatever stands between them; other bytes as they are. A broken member ends where it breaks."""
+    view, at = memoryview(data), 0
+    if bytes(view[:2]) != GZIP:
+        yield from (bytes(view[i : i + size]) for i in range(0, len(view), size))
+        return
+    while at >= 0:
+        d, rest = zlib.decompressobj(31), at
+        try:
+            while not d.eof and rest < len(view):
+                piece = bytes(view[rest : rest + size])
+                rest += len(piece)
+                yield d.decompress(piece, size)
+                while d.unconsumed_tail:
+                    yield d.decompress(d.unconsumed_tail, size)
+            at = data.find(GZIP, rest - len(d.unused_data)) if d.eof else -1
+        except zlib.error:
+            at = data.find(GZIP, at + 2)
 
 
 def payload_of(block: bytes) -> bytes:
@@ -145,27 +190,44 @@ def payload_of(block: bytes) -> bytes:
     return unchunked(body) if re.search(rb"(?im)^transfer-encoding:.*\bchunked\b", head) else body
 
 
-RECORD = "record_id string, type string, url string, digest string, refers_to string, origin string, segment long, total long, block binary"
+RECORD = "record_id string, type string, url string, digest string, refers_to string, origin string, segment long, total long, block binary, file string, error string"
+#: A worker sends records on when their blocks have so many bytes.
+SEND = 8 << 20
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives below path, as they are."""
+    """The records of all archives below path, gzip or not and whatever their names, as they are.
+
+    What is no whole record (cut off, without a length, foreign bytes) is a row
+    with error and file only; reading goes on with the next record. An archive
+    comes to a worker as one row of compressed bytes; it is unpacked in pieces,
+    and its records leave in batches of about SEND bytes. No archive gives no rows.
+    """
+
+    def row(file, h, block, error):
+        if error:
+            return (*[None] * 9, file, error)
+        bare = lambda k: h[k].strip("<>") if k in h else None
+        whole = lambda k: int(h[k]) if h.get(k, "").isdigit() else None
+        return bare("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), (h.get("warc-payload-digest") or "").partition(":")[2] or None, bare("warc-refers-to"), bare("warc-segment-origin-id"), whole("warc-segment-number"), whole("warc-segment-total-length"), block, file, None
+
+    def sent(rows):
+        kinds = [pa.string()] * 6 + [pa.int64()] * 2 + [pa.binary()] + [pa.string()] * 2
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in RECORD.split(", ")])
 
     def take(batches):
-        for batch in batches:
-            for data in batch.column(0):
-                rows = [[] for _ in range(9)]
-                for h, block in parse(gunzipped(data.as_py())):
-                    bare = lambda k, h=h: h[k].strip("<>") if k in h else None
-                    whole = lambda k, h=h: int(h[k]) if k in h else None
-                    row = (bare("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), (h.get("warc-payload-digest") or "").partition(":")[2] or None, bare("warc-refers-to"), bare("warc-segment-origin-id"), whole("warc-segment-number"), whole("warc-segment-total-length"), block)
-                    for x, v in zip(rows, row, strict=True):
-                        x.append(v)
-                kinds = [pa.string()] * 6 + [pa.int64()] * 2 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=[x.split()[0] for x in RECORD.split(", ")])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(take, RECORD)
+        for batch in slices(batches, 1):
+            rows, size = [], 0
+            for h, block, error in parse(gunzipped(batch.column(1)[0].as_py())):
+                rows.append(row(batch.column(0)[0].as_py(), h, block, error))
+                size += len(block or b"") + 512
+                if size >= SEND:
+                    yield sent(rows)
+                    rows, size = [], 0
+            if rows:
+                yield sent(rows)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(take, RECORD)
 
 
 PAGE = "record_id string, url string, digest string, refers_to string, payload binary, whole boolean"
@@ -176,7 +238,8 @@ def reassembled(records: DataFrame) -> DataFrame:
     whole: all segments are there, the total length holds, the framing can be decoded and the digest fits.
 
     A page with a missing or repeated segment, another total length or broken
-    framing is kept, with whole false and a null payload.
+    framing is kept, with whole false and a null payload. Rows that are errors
+    are passed over. No records give no rows; other columns are ignored.
     """
 
     def opened(block):
@@ -186,7 +249,7 @@ def reassembled(records: DataFrame) -> DataFrame:
             return None
 
     def single(batches):
-        for batch in batches:
+        for batch in slices(batches, 256):
             names = batch.schema.names
             c = {k: batch.column(i) for i, k in enumerate(names)}
             payload = [None if r is not None else opened(b) for r, b in zip(c["refers_to"].to_pylist(), c["block"].to_pylist(), strict=True)]
@@ -202,11 +265,13 @@ def reassembled(records: DataFrame) -> DataFrame:
         payload = opened(block) if complete else None
         return pd.DataFrame([{"record_id": head["origin"], "url": head["url"], "digest": head["digest"], "refers_to": None, "payload": payload, "whole": payload is not None and digest_of(payload) == head["digest"]}])
 
+    records = records.where("record_id is not null").drop("file", "error")
     segments = records.where("segment is not null").withColumn("origin", F.coalesce("origin", "record_id"))
     return records.where("segment is null").mapInArrow(single, PAGE).unionByName(segments.groupBy("origin").applyInPandas(joined, PAGE))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page whose segments are broken would have whole false and a null payload_bytes."""
     path = scratch_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
     pages = reassembled(read_records(spark, path))
