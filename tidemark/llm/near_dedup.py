@@ -22,7 +22,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import drop_written, slices, table, written
@@ -62,18 +62,34 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, n_shingles long, digest binary, registers binary")
 
 
+#: A list of hot buckets is sent to all tasks up to so many rows (16 bytes each); a longer one is joined by key.
+HOT_ROWS = 1_000_000
+
+
+def parts_of(n) -> Column:
+    return F.greatest(F.ceil(n / PART), F.lit(1)).cast("int")
+
+
+def dealt(rows: DataFrame, parts: str = "parts") -> DataFrame:
+    """A row of a bucket once for each of the bucket's parts."""
+    return rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col(parts) - 1)))
+
+
 def buckets(classes: DataFrame) -> DataFrame:
-    """(key, band, id, lo, prev, n): the members of every bucket that has several, with its first member and the one before.
+    """(key, part, parts, band, id, lo, prev, n): the members of every bucket that has several, with its first member and the one before.
 
-    First members and sizes are partial aggregates; a large bucket is then dealt
-    into parts, so that its members never meet in one task (prev is in the part).
+    First members and sizes are partial aggregates. A large bucket is then dealt
+    into parts before its members are moved, so that they never meet in one task
+    (prev is in the part).
     """
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
     keys = classes.select("id", "registers", band.alias("band"))
     keys = keys.select(F.xxhash64("band", F.expr(f"substring(registers, band * {2 * ROWS} + 1, {2 * ROWS})")).alias("key"), "band", "id")
-    several = keys.groupBy("key").agg(F.min("id").alias("lo"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / PART))
-    return keys.join(several, "key").withColumn("prev", F.lag("id").over(Window.partitionBy("key", part).orderBy("id")))
+    several = written(keys.groupBy("key").agg(F.min("id").alias("lo"), F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("parts", parts_of(F.col("n"))), "several")
+    hot = several.where("parts > 1").select("key", F.col("parts").alias("of"))
+    hot = F.broadcast(hot) if hot.count() <= HOT_ROWS else hot
+    keys = keys.join(hot, "key", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("of", F.lit(1))).cast("int")).drop("of")
+    return keys.join(dealt(several), ["key", "part"]).withColumn("prev", F.lag("id").over(Window.partitionBy("key", "part").orderBy("id")))
 
 
 PAIR = ("id", "n_shingles", "registers", "text")
@@ -154,15 +170,15 @@ def left_over(members: DataFrame, labels: DataFrame, classes: DataFrame) -> Data
     against one another (kind 0); side says which of the two blocks a member is of.
     Buckets of up to three were paired fully before.
     """
-    named = members.where("n > 3").select("key", "band", "id").join(labels, "id", "left")
-    named = named.withColumn("component", F.coalesce("component", "id"))
-    sizes = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
-    sizes = sizes.groupBy("key").agg(F.max(F.struct("m", "component"))["component"].alias("most"), F.max("m").alias("main"), F.sum("m").alias("n")).where("n > main")
-    named = named.join(sizes, "key").join(classes.select("id", "n_shingles", "registers"), "id")
+    named = members.where("n > 3").select("key", "part", "parts", "band", "id").join(labels, "id", "left")
+    named = named.withColumn("component", F.coalesce("component", "id")).join(classes.select("id", "n_shingles", "registers"), "id")
+    sizes = named.groupBy("key", "parts", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("s"))
+    sizes = sizes.groupBy("key", "parts").agg(F.max(F.struct("m", "component", "s")).alias("top"), F.sum("m").alias("n"), F.sum("s").alias("all_s")).where("n > top.m")
+    sizes = sizes.select("key", "parts", F.col("top.component").alias("most"), F.col("top.m").alias("main"), "n", F.col("top.s").alias("main_s"), (F.col("all_s") - F.col("top.s")).alias("rest_s"))
+    named = named.drop("parts").join(dealt(sizes), ["key", "part"])
     of_main = F.col("component") == F.col("most")
-    weight = named.groupBy("key").agg(F.sum(F.when(of_main, F.col("n_shingles")).otherwise(0)).alias("main_s"), F.sum(F.when(of_main, 0).otherwise(F.col("n_shingles"))).alias("rest_s"))
     blocks = lambda n, s: F.ceil(F.greatest(n / BLOCK, F.col(s) / BLOCK_SHINGLES)).cast("int")
-    named = named.join(weight, "key").withColumns({"of_rest": blocks(F.col("n") - F.col("main"), "rest_s"), "of_main": blocks(F.col("main"), "main_s"), "spot": F.xxhash64("id", F.lit(1))})
+    named = named.withColumns({"of_rest": blocks(F.col("n") - F.col("main"), "rest_s"), "of_main": blocks(F.col("main"), "main_s"), "spot": F.xxhash64("id", F.lit(1))})
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     own = lambda n: F.pmod("spot", F.col(n)).cast("int")
     at = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
@@ -171,8 +187,9 @@ def left_over(members: DataFrame, labels: DataFrame, classes: DataFrame) -> Data
     against = F.transform(every("of_main"), lambda k: at(1, own("of_rest"), k, F.lit(0)))
     placed = named.select("key", "band", "id", "component", "n_shingles", "registers", F.explode(F.when(of_main, main).otherwise(F.concat(among, against))).alias("at"))
     placed = placed.select("key", "at.kind", "at.i", "at.j", "at.side", "band", "id", "component", "n_shingles", "registers")
-    # Else the pairs of blocks of a bucket would stay together, as the joins by key left them.
-    return placed.repartition(*PLACE)
+    # Else the pairs of blocks of a bucket would stay together, as the joins by key left them. Their cost is
+    # comparisons, not bytes: with a number given, they are not put together by their bytes.
+    return placed.repartition(4 * int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), *PLACE)
 
 
 def possible(part: pd.DataFrame) -> list[tuple[float, int, int]]:
