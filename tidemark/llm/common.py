@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.store import drop_written, scratch_path, written
+from tidemark.store import drop_written, freed, scratch_path, written
 
-__all__ = ["WORD", "drop_written", "scratch_path", "slices", "table", "written"]
+__all__ = ["WORD", "drop_written", "freed", "scratch_path", "slices", "table", "written"]
 
 #: What the contracts call a word: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
