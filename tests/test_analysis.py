@@ -11,7 +11,7 @@ from tidemark.operators import history as H
 from tidemark.operators import preprocess as P
 from tidemark.plans import cross_source as S
 from tidemark.plans import verdict as V
-from tidemark.sources import csv, snapshots
+from tidemark.sources import snapshots
 from tidemark.streaming import points as stream
 
 RAW = "series_id string, topic string, source string, freq string, scale string, ts date, value double, contributors long, top_share double, raw_count long, imputed boolean, ordinal long, fetched_at timestamp, partial_rule string, upload_date date, last_incomplete boolean"
@@ -125,23 +125,6 @@ def test_text_functions(spark):
     assert (r.s, r.q, r.n, r.u) == ("a-b-c", "éa b!c", [1200.0, 3.5], [3.5])
 
 
-def test_csv_files(spark, tmp_path):
-    days = [dt.date(2024, 3, 1) + dt.timedelta(days=i) for i in range(5)]
-    (tmp_path / "plain.csv").write_text("date,value\n" + "\n".join(f"{d},{i}" for i, d in enumerate(days)))
-    (tmp_path / "semi.csv").write_text("views;day\n" + "\n".join(f"{i}.5;{d}" for i, d in enumerate(days)))
-    (tmp_path / "weeks.csv").write_bytes("﻿Category: all\n\nWeek\tq: (x)\n".encode() + "\n".join(f"{d - dt.timedelta(days=0) + dt.timedelta(days=6 * i)}\t{'<1' if i == 1 else i}" for i, d in enumerate(days)).encode())
-    (tmp_path / "months.csv").write_bytes("Mois,Résultat\n2024-01,\"1,200\"\n2024-02,\n2024-03,inf\nx,2\n".encode("latin-1"))
-    points, errors = csv.read(spark, str(tmp_path))
-    got = {}
-    for r in points.orderBy("ts").collect():
-        got.setdefault(r.series_id, []).append(r)
-    assert [r.value for r in got["plain.csv"]] == [0, 1, 2, 3, 4] and {(r.freq, r.scale) for r in got["plain.csv"]} == {("D", "count")}
-    assert [r.value for r in got["semi.csv"]] == [0.5, 1.5, 2.5, 3.5, 4.5] and got["semi.csv"][0].scale == "value"
-    assert {(r.freq, r.scale) for r in got["weeks.csv"]} == {("W", "relative_0_100")} and [r.imputed for r in got["weeks.csv"]] == [False, True, False, False, False]
-    assert got["months.csv"][1].value is None and got["months.csv"][0].freq == "M"
-    assert {(r.series_id, r.value_cell) for r in errors.collect()} == {("months.csv", "inf"), ("months.csv", "2")}
-
-
 def test_snapshots(spark, tmp_path):
     raw = frame(spark, series("s", [1.0, float("nan"), 3.0]))
     snapshots.write(raw, f"{tmp_path}/out")
