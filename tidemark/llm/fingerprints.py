@@ -133,7 +133,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fields = FIELDS + EDGE
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("hash", F.xxhash64("text"))
-    ranges = rows.repartitionByRange(3 * int(spark.conf.get("spark.sql.shuffle.partitions")), F.asc_nulls_first("id"), "hash").sortWithinPartitions(F.asc_nulls_first("id"), "hash")
+    ranges = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.asc_nulls_first("id"), "hash").sortWithinPartitions(F.asc_nulls_first("id"), "hash")
 
     def run(batches):
         part, last = TaskContext.get().partitionId(), None

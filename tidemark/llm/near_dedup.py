@@ -189,7 +189,7 @@ def left_over(members: DataFrame, labels: DataFrame, classes: DataFrame) -> Data
     placed = placed.select("key", "at.kind", "at.i", "at.j", "at.side", "band", "id", "component", "n_shingles", "registers")
     # Else the pairs of blocks of a bucket would stay together, as the joins by key left them. Their cost is
     # comparisons, not bytes: with a number given, they are not put together by their bytes.
-    return placed.repartition(4 * int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), *PLACE)
+    return placed.repartition(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), *PLACE)
 
 
 def possible(part: pd.DataFrame) -> list[tuple[float, int, int]]:
