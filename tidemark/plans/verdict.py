@@ -114,13 +114,13 @@ def original(work: Column) -> Column:
     return F.round(F.when(F.col("transform") == "log1p", F.greatest(F.expm1(work), F.lit(0.0))).otherwise(work), 1)
 
 
-CONDITION = "struct<kind:string,periods:int,threshold:double>"
+CONDITION = "struct<kind:string,periods:int,threshold:double,base:double>"
 
 
 def conditions(rows: DataFrame, s: Settings) -> DataFrame:
-    """Up to max_conditions observations that would change the verdict, in order of weight."""
+    """Up to max_conditions observations that would change the verdict, in order of weight. base: the lower bound of unusual values, or last year's value."""
     none = F.lit(None).cast(CONDITION)
-    make = lambda kind, n, at: F.struct(F.lit(kind).alias("kind"), n.cast("int").alias("periods"), at.cast("double").alias("threshold"))
+    make = lambda kind, n, at, base=F.lit(None): F.struct(F.lit(kind).alias("kind"), n.cast("int").alias("periods"), at.cast("double").alias("threshold"), base.cast("double").alias("base"))
     edge = lambda k: original(F.col("median") + k * F.col("mad"))
     n, nothing = per_freq(s.min_persist), F.lit(None)
     down = F.coalesce("direction", F.when(F.col("recent_median") >= F.col("median"), "up").otherwise("down")) == "down"
@@ -131,13 +131,13 @@ def conditions(rows: DataFrame, s: Settings) -> DataFrame:
     more = F.when((F.col("season_skip") == "history") & (per_freq(s.annual_min_points) > F.col("n")), make("annual_history", per_freq(s.annual_min_points) - F.col("n"), nothing))
     broad = F.when(~stance("breadth", "skipped"), make("broader_origins", nothing, F.lit(s.breadth_top_share_max)))
     who = F.when((F.col("scale") == "count") & stance("breadth", "skipped"), make("contributor_data", nothing, nothing))
-    year = F.when(F.col("last_year").isNotNull(), make("beyond_last_year", F.lit(1), original(F.col("last_year") + F.when(down, -1).otherwise(1) * s.exceed_mads * F.col("mad"))))
+    year = F.when(F.col("last_year").isNotNull(), make("beyond_last_year", F.lit(1), original(F.col("last_year") + F.when(down, -1).otherwise(1) * s.exceed_mads * F.col("mad")), original(F.col("last_year"))))
     by = {
         "R1": [make("more_history", F.col("min_required") - F.col("n_observed"), nothing)],
         "R2": [year],
         "R3": [stay, broad],
         "R4": [fall, more],
-        "R5": [make("unusual_above", nothing, edge(s.outlier_z)), F.when(real(edge(-s.outlier_z)), make("unusual_below", nothing, edge(-s.outlier_z))), stay_either],
+        "R5": [make("unusual", nothing, edge(s.outlier_z), F.when(real(edge(-s.outlier_z)), edge(-s.outlier_z))), stay_either],
         "R6": [stay_either, fall, who],
     }
     every = F.coalesce(*[F.when(F.col("rule") == k, F.array(*[F.coalesce(x.cast(CONDITION), none) for x in v])) for k, v in by.items()])
@@ -156,6 +156,7 @@ def headers(points: DataFrame, s: Settings) -> DataFrame:
         F.min(F.when(recent, F.col("ts"))).alias("window_start"),
         F.max("ts").alias("last_ts"),
         F.max(F.when(F.col("idx") == F.col("n") - per_freq(s.annual_cycle), F.col("work"))).alias("last_year"),
+        F.max(F.when(F.col("idx") == F.col("n") - per_freq(s.annual_cycle), F.col("ts"))).alias("last_year_ts"),
     )
 
 

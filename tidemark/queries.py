@@ -15,6 +15,7 @@ from tidemark.operators import checks as C
 from tidemark.operators import history as H
 from tidemark.operators import preprocess as P
 from tidemark.plans import cross_source as S
+from tidemark.plans import report as R
 from tidemark.plans import verdict as V
 from tidemark.sources import tables as T
 
@@ -131,6 +132,20 @@ def cross_source(spark, sf_dir):
     return S.compare_sources(windows_for_comparison(spark, sf_dir)).withColumn("sources", F.array_join("sources", ","))
 
 
+def source_sentences(spark, sf_dir):
+    """Verdicts of all series, compared and told per topic in a sentence."""
+    return R.topic_sentences(S.source_windows(V.verdicts(T.all_series(spark, sf_dir)))).withColumn("sources", F.array_join("sources", ","))
+
+
+def verdict_texts(spark, sf_dir):
+    """Event verdicts with their badge and what would change them, in words."""
+    return R.with_texts(V.verdicts(T.events_daily(spark, sf_dir))).select("series_id", "badge", F.array_join("condition_texts", " ").alias("conditions"))
+
+
+def topic_table(spark, sf_dir):
+    return R.topic_table(manifest(spark, sf_dir), ["automobile", "building", "furniture", "household", "machinery"])
+
+
 def history_merge(spark, sf_dir):
     """A refresh that begins on 2001-06-01 over an older copy with other values, the last 365 days of both."""
     now = daily_orders(spark, sf_dir).select("series_id", "source", "freq", "scale", "ts", "value")
@@ -332,6 +347,7 @@ u AS (SELECT series_id, ts, value FROM f UNION ALL SELECT p.series_id, p.ts, p.v
 SELECT series_id, ts, value FROM (SELECT *, max(ts) OVER (PARTITION BY series_id) AS last FROM u) WHERE ts > last - 365""",
         "history_upsert": f"WITH {sql_points('orders_d', None)} SELECT series_id, ts, CASE WHEN ts >= DATE '2001-07-01' THEN 2 * value ELSE value END AS value FROM p",
         "manifest": f"WITH {MANIFEST} SELECT * FROM m",
+        "topic_table": f"WITH {MANIFEST} SELECT topic, " + ", ".join(f"coalesce(max(status) FILTER (source = '{k}'), '—') AS {k}" for k in ("automobile", "building", "furniture", "household", "machinery")) + " FROM m GROUP BY topic",
         "status_by_source": f"WITH {MANIFEST} SELECT source, CASE WHEN count(*) FILTER (status = 'ok') > 0 AND count(*) FILTER (status = 'failed') > 0 THEN 'partial' WHEN count(*) FILTER (status = 'ok') > 0 THEN 'ok' ELSE 'failed' END AS status FROM m GROUP BY source",
         "name_functions": r"""SELECT p_partkey, trim(regexp_replace(lower(p_name || '  (X)!'), '[^a-z0-9]+', '-', 'g'), '-') AS slug,
   lower(trim(regexp_replace(' ' || upper(p_name) || chr(9) || ' z ', '\s+', ' ', 'g'))) AS query,
@@ -343,7 +359,7 @@ QUERIES = {
     f.__name__: dated(f)
     for f in (
         events_points, orders_weekly, shipments_monthly, events_windows, orders_windows, orders_gap_fill, orders_weekly_sums, orders_partial_month,
-        concentration, outliers, breadth, low_count, trend_pairs, trailing_run, minimum_verdict, verdicts_events, verdicts_all, cross_source,
+        concentration, outliers, breadth, low_count, trend_pairs, trailing_run, minimum_verdict, verdicts_events, verdicts_all, cross_source, source_sentences, verdict_texts, topic_table,
         history_merge, history_upsert, manifest, status_by_source, name_functions, narrations, chart_json,
     )
 }
