@@ -38,8 +38,8 @@ def manifest(previous: DataFrame, run: DataFrame, keep: DataFrame) -> DataFrame:
 
 
 def source_status(entries: DataFrame) -> DataFrame:
-    """Per source: ok, partial, failed or skipped."""
-    n = entries.groupBy("source").agg(F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") == "failed").alias("bad"))
+    """Per source: ok, partial, failed or skipped; whatever is neither failed nor skipped went well."""
+    n = entries.groupBy("source").agg(F.count_if(~F.col("status").isin("failed", "skipped")).alias("ok"), F.count_if(F.col("status") == "failed").alias("bad"))
     return n.select("source", F.when((F.col("ok") > 0) & (F.col("bad") > 0), "partial").when(F.col("ok") > 0, "ok").when(F.col("bad") > 0, "failed").otherwise("skipped").alias("status"))
 
 

@@ -15,6 +15,7 @@ from tidemark.operators import checks as C
 from tidemark.operators import history as H
 from tidemark.operators import preprocess as P
 from tidemark.plans import cross_source as S
+from tidemark.plans import refresh as U
 from tidemark.plans import report as R
 from tidemark.plans import verdict as V
 from tidemark.sources import tables as T
@@ -171,6 +172,19 @@ def status_by_source(spark, sf_dir):
     return H.source_status(manifest(spark, sf_dir))
 
 
+def refresh_entries(spark, sf_dir):
+    """A refresh of orders by priority and status: one source answers nothing, one topic is new, one has not changed since."""
+    o = T.read(spark, sf_dir, "orders").groupBy(F.substring("o_orderpriority", 1, 1).alias("topic"), F.lower("o_orderstatus").alias("source"), F.to_date("o_orderdate").alias("ts")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    now = o.select(F.concat_ws("/", "source", "topic").alias("series_id"), "topic", "source", F.lit("D").alias("freq"), F.lit("count").alias("scale"), "ts", "value")
+    last = now.groupBy("series_id").agg(F.max("ts").alias("last"))
+    stored = now.join(last, "series_id").where("topic <> '5' and case when topic = '2' then ts > date_sub(last, 365) else ts < date'2001-07-01' end").drop("last").withColumn("fetched_at", F.lit("2001-07-01").cast("timestamp"))
+    fresh = now.where("ts >= date'2001-06-01' and source <> 'p'").withColumn("fetched_at", F.lit("2001-08-01").cast("timestamp"))
+    asked = now.select("series_id", "topic", "source").distinct()
+    faults = asked.where("source = 'p'").select("series_id", F.lit("no answer").alias("error"), (F.col("topic") == "3").alias("disabled"))
+    _, entries = U.refresh(stored, fresh, faults, asked, 365)
+    return entries.select("topic", "source", "status", F.to_date("fetched_at").alias("fetched"), "points", "error")
+
+
 def name_functions(spark, sf_dir):
     p = T.read(spark, sf_dir, "part").select("p_partkey", "p_name")
     return p.select("p_partkey", X.slugify(F.concat_ws("  ", "p_name", F.lit("(X)!"))).alias("slug"), X.normalised_query(F.concat(F.lit(" "), F.upper("p_name"), F.lit("\t z "))).alias("query"), X.cache_key(F.lit("hn"), F.col("p_name"), F.lit("{}")).alias("key"))
@@ -348,6 +362,13 @@ SELECT series_id, ts, value FROM (SELECT *, max(ts) OVER (PARTITION BY series_id
         "history_upsert": f"WITH {sql_points('orders_d', None)} SELECT series_id, ts, CASE WHEN ts >= DATE '2001-07-01' THEN 2 * value ELSE value END AS value FROM p",
         "manifest": f"WITH {MANIFEST} SELECT * FROM m",
         "topic_table": f"WITH {MANIFEST} SELECT topic, " + ", ".join(f"coalesce(max(status) FILTER (source = '{k}'), '—') AS {k}" for k in ("automobile", "building", "furniture", "household", "machinery")) + " FROM m GROUP BY topic",
+        "refresh_entries": """WITH n AS (SELECT substr(o_orderpriority, 1, 1) AS topic, lower(o_orderstatus) AS source, o_orderdate::DATE AS ts FROM orders GROUP BY ALL),
+m AS (SELECT *, max(ts) OVER (PARTITION BY topic, source) AS last FROM n),
+k AS (SELECT topic, source, count(*) FILTER (CASE WHEN topic = '5' THEN false WHEN topic = '2' THEN ts > last - 365 ELSE ts < DATE '2001-07-01' END) AS stored,
+        count(*) FILTER (ts >= DATE '2001-06-01') AS fetched, count(*) FILTER (ts > last - 365 AND (topic <> '5' OR ts >= DATE '2001-06-01')) AS merged FROM m GROUP BY ALL),
+e AS (SELECT *, CASE WHEN source = 'p' AND topic = '3' THEN 'skipped' WHEN source = 'p' OR fetched = 0 THEN 'failed' WHEN topic = '2' THEN 'unchanged' ELSE 'updated' END AS status FROM k)
+SELECT topic, source, status, CASE WHEN status = 'updated' THEN '2001-08-01' WHEN stored > 0 THEN '2001-07-01' END AS fetched, CASE WHEN status = 'updated' THEN merged WHEN stored > 0 THEN stored END AS points,
+  CASE WHEN source = 'p' THEN 'Couldn''t fetch P: no answer' WHEN fetched = 0 THEN upper(source) || ': nothing was fetched' END AS error FROM e""",
         "status_by_source": f"WITH {MANIFEST} SELECT source, CASE WHEN count(*) FILTER (status = 'ok') > 0 AND count(*) FILTER (status = 'failed') > 0 THEN 'partial' WHEN count(*) FILTER (status = 'ok') > 0 THEN 'ok' ELSE 'failed' END AS status FROM m GROUP BY source",
         "name_functions": r"""SELECT p_partkey, trim(regexp_replace(lower(p_name || '  (X)!'), '[^a-z0-9]+', '-', 'g'), '-') AS slug,
   lower(trim(regexp_replace(' ' || upper(p_name) || chr(9) || ' z ', '\s+', ' ', 'g'))) AS query,
@@ -360,6 +381,6 @@ QUERIES = {
     for f in (
         events_points, orders_weekly, shipments_monthly, events_windows, orders_windows, orders_gap_fill, orders_weekly_sums, orders_partial_month,
         concentration, outliers, breadth, low_count, trend_pairs, trailing_run, minimum_verdict, verdicts_events, verdicts_all, cross_source, source_sentences, verdict_texts, topic_table,
-        history_merge, history_upsert, manifest, status_by_source, name_functions, narrations, chart_json,
+        history_merge, history_upsert, manifest, status_by_source, refresh_entries, name_functions, narrations, chart_json,
     )
 }

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.store import written
+
 RAW = ["series_id", "topic", "source", "freq", "scale", "ts", "value", "contributors", "top_share", "raw_count", "imputed", "ordinal", "fetched_at", "partial_rule", "upload_date", "last_incomplete"]
 FETCHED = "2100-01-01"
 
@@ -19,7 +21,11 @@ def bucket(ts: Column, freq: str) -> Column:
 
 def breadth(items: DataFrame, keys: list[str], origin: str) -> DataFrame:
     """Per key: items, known origins, and the largest known origin's share of all items (0 without a known one)."""
-    by = items.groupBy(*keys, F.col(origin).alias("origin")).agg(F.count(F.lit(1)).alias("n"))
+    return shares(items.groupBy(*keys, F.col(origin).alias("origin")).agg(F.count(F.lit(1)).alias("n")), keys)
+
+
+def shares(by: DataFrame, keys: list[str]) -> DataFrame:
+    """breadth, from rows of keys, origin and n items."""
     top = F.coalesce(F.max(F.when(F.col("origin").isNotNull(), F.col("n"))), F.lit(0))
     return by.groupBy(*keys).agg(F.sum("n").alias("raw_count"), F.count("origin").alias("contributors"), (top / F.sum("n")).alias("top_share"))
 
@@ -67,8 +73,18 @@ def shipments(spark: SparkSession, sf_dir: str, freq: str) -> DataFrame:
 
 
 def all_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every series above, daily, weekly and monthly."""
+    """Every series above, daily, weekly and monthly. A table is scanned once: its counts by day and origin are written, and longer periods are sums of them."""
     out = events_daily(spark, sf_dir)
-    for freq in ("D", "W", "M"):
-        out = out.unionByName(orders(spark, sf_dir, freq)).unionByName(shipments(spark, sf_dir, freq))
+    kinds = (
+        ("orders", "orders", F.substring("o_orderpriority", 1, 1), "o_orderdate", "o_custkey", None),
+        ("lineitem", "lines", F.col("l_returnflag"), "l_shipdate", "l_suppkey", {"D": "1 day", "W": "7 day", "M": "1 month"}),
+    )
+    for table, source, key, ts, origin, fill in kinds:
+        by = read(spark, sf_dir, table).groupBy(key.alias("key"), bucket(F.col(ts), "D").alias("day"), F.col(origin).alias("origin")).agg(F.count(F.lit(1)).alias("n"))
+        by = written(by, "days")
+        for freq in ("D", "W", "M"):
+            name = F.concat(F.lit(f"{source}/{freq}/"), "key")
+            periods = by.groupBy(name.alias("series_id"), bucket(F.col("day"), freq).alias("ts"), "origin").agg(F.sum("n").alias("n"))
+            points = shares(periods, ["series_id", "ts"]).withColumns({"value": F.col("raw_count").cast("double"), "imputed": F.lit(False)})
+            out = out.unionByName(complete(zero_filled(points, fill[freq]) if fill else points, "trade", source, freq))
     return out
