@@ -79,6 +79,7 @@ def decided(rows: DataFrame, s: Settings) -> DataFrame:
     return out.withColumns({"direction": single, "reason": reason})
 
 
+# Which stances speak for and against a label, and the order of the rules above.
 AGREES = {"TREND": "supports_trend", "FLUKE": "supports_fluke", "SEASONAL": "supports_seasonal", "NO_CHANGE": "supports_no_change"}
 AGAINST = {
     "TREND": ("supports_fluke", "supports_no_change", "supports_seasonal"),
@@ -162,6 +163,11 @@ def headers(points: DataFrame, s: Settings) -> DataFrame:
 
 def verdicts(raw: DataFrame, s: Settings | None = None) -> DataFrame:
     """A row per series of the raw schema: label, direction, confidence, rule, reason, score, conditions and windows."""
+    return analysed(raw, s)[1]
+
+
+def analysed(raw: DataFrame, s: Settings | None = None) -> tuple[DataFrame, DataFrame]:
+    """(regular points, verdict rows)."""
     s = s or Settings()
     told = raw.groupBy("series_id").agg(F.first("topic").alias("topic"), F.first("source").alias("source"), (F.min("truncated_before") if "truncated_before" in raw.columns else F.lit(None).cast("date")).alias("truncated_before"))
     # Buckets and regular points are read by several checks; each is made once.
@@ -169,7 +175,7 @@ def verdicts(raw: DataFrame, s: Settings | None = None) -> DataFrame:
     points = written(preprocess(raw.select("series_id", "freq", "scale", "ts", "value", "contributors", "top_share", "raw_count", "imputed", "ordinal", *META), s), "points")
     rows = headers(points, s).join(told, "series_id").join(evidence(points, s), "series_id", "left")
     rows = rows.withColumns({f"{c}_stance": F.coalesce(f"{c}_stance", F.lit("skipped")) for c in CHECKS})
-    return conditions(confidence(decided(rows, s), s), s)
+    return points, conditions(confidence(decided(rows, s), s), s)
 
 
 SHORT = ["series_id", "topic", "source", "freq", "label", "direction", "confidence", "rule", "reason", "score", "window_start", "last_ts", "n", "n_recent", "conditions"]

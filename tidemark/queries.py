@@ -17,6 +17,7 @@ from tidemark.operators import preprocess as P
 from tidemark.plans import cross_source as S
 from tidemark.plans import refresh as U
 from tidemark.plans import report as R
+from tidemark.plans import results as E
 from tidemark.plans import verdict as V
 from tidemark.sources import tables as T
 
@@ -191,10 +192,13 @@ def name_functions(spark, sf_dir):
 
 
 def narrations(spark, sf_dir):
-    """A sentence per event verdict, and the numbers in it that the verdict does not license."""
-    v = V.verdicts(T.events_daily(spark, sf_dir))
-    said = v.select("series_id", X.narration(F.col("series_id"), F.col("label"), F.col("direction"), F.col("confidence"), F.col("reason")).alias("text"), F.array("n_observed", "min_required", "score").cast("array<double>").alias("facts"))
-    return said.select("series_id", "text", F.size(X.unlicensed(F.col("text"), F.col("facts"))).alias("n_unlicensed"))
+    """A paragraph per event verdict, and how much in it the verdict does not license."""
+    return E.told(T.events_daily(spark, sf_dir)).select("series_id", F.col("narration").alias("text"), F.size("issues").alias("n_unlicensed"))
+
+
+def result_json(spark, sf_dir):
+    """A summary row per topic and a card row per event series."""
+    return E.results(T.events_daily(spark, sf_dir))
 
 
 def chart_json(spark, sf_dir):
@@ -362,6 +366,9 @@ SELECT series_id, ts, value FROM (SELECT *, max(ts) OVER (PARTITION BY series_id
         "history_upsert": f"WITH {sql_points('orders_d', None)} SELECT series_id, ts, CASE WHEN ts >= DATE '2001-07-01' THEN 2 * value ELSE value END AS value FROM p",
         "manifest": f"WITH {MANIFEST} SELECT * FROM m",
         "topic_table": f"WITH {MANIFEST} SELECT topic, " + ", ".join(f"coalesce(max(status) FILTER (source = '{k}'), '—') AS {k}" for k in ("automobile", "building", "furniture", "household", "machinery")) + " FROM m GROUP BY topic",
+        "chart_json": f"""WITH {ev}
+SELECT series_id, to_json({{observed: coalesce(list({{ts: strftime(ts, '%Y-%m-%d'), value: value}} ORDER BY ts) FILTER (value IS NOT NULL AND NOT imputed), []), imputed: coalesce(list({{ts: strftime(ts, '%Y-%m-%d'), value: value}} ORDER BY ts) FILTER (imputed), []),
+  window_start: min(strftime(ts, '%Y-%m-%d')) FILTER (segment = 'recent'), median: any_value(original_median)}})::VARCHAR AS json FROM w GROUP BY series_id""",
         "refresh_entries": """WITH n AS (SELECT substr(o_orderpriority, 1, 1) AS topic, lower(o_orderstatus) AS source, o_orderdate::DATE AS ts FROM orders GROUP BY ALL),
 m AS (SELECT *, max(ts) OVER (PARTITION BY topic, source) AS last FROM n),
 k AS (SELECT topic, source, count(*) FILTER (CASE WHEN topic = '5' THEN false WHEN topic = '2' THEN ts > last - 365 ELSE ts < DATE '2001-07-01' END) AS stored,
@@ -381,6 +388,6 @@ QUERIES = {
     for f in (
         events_points, orders_weekly, shipments_monthly, events_windows, orders_windows, orders_gap_fill, orders_weekly_sums, orders_partial_month,
         concentration, outliers, breadth, low_count, trend_pairs, trailing_run, minimum_verdict, verdicts_events, verdicts_all, cross_source, source_sentences, verdict_texts, topic_table,
-        history_merge, history_upsert, manifest, status_by_source, refresh_entries, name_functions, narrations, chart_json,
+        history_merge, history_upsert, manifest, status_by_source, refresh_entries, name_functions, narrations, result_json, chart_json,
     )
 }
