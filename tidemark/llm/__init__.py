@@ -18,6 +18,7 @@ MODULES = (
     "chat_format",
     "language_id",
     "mixing",
+    "alignment",
 )
 
 
