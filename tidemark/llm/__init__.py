@@ -19,6 +19,7 @@ MODULES = (
     "language_id",
     "mixing",
     "alignment",
+    "turn_repair",
 )
 
 
