@@ -20,6 +20,7 @@ MODULES = (
     "mixing",
     "alignment",
     "turn_repair",
+    "top_k",
 )
 
 
