@@ -12,7 +12,6 @@ from tidemark.operators import preprocess as P
 from tidemark.plans import cross_source as S
 from tidemark.plans import verdict as V
 from tidemark.sources import snapshots
-from tidemark.streaming import points as stream
 
 RAW = "series_id string, topic string, source string, freq string, scale string, ts date, value double, contributors long, top_share double, raw_count long, imputed boolean, ordinal long, fetched_at timestamp, partial_rule string, upload_date date, last_incomplete boolean"
 LATE = dt.datetime(2100, 1, 1)
@@ -134,17 +133,6 @@ def test_snapshots(spark, tmp_path):
     assert snapshots.read(spark, f"{tmp_path}/bad.json")[1].count() == 1
 
 
-def test_stream_merges_whole_days(spark, tmp_path):
-    at = lambda d, h: dt.datetime(2024, 1, d, h)
-    schema = "ts timestamp, event_type string"
-    src, out = f"{tmp_path}/in", f"{tmp_path}/out"
-    for part in ([(at(1, 1), "a"), (at(1, 5), "a"), (at(1, 7), "b")], [(at(2, 1), "a"), (at(5, 1), "a")]):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
-        stream.start(spark.readStream.schema(schema).parquet(src), out, f"{tmp_path}/state").awaitTermination()
-    got = sorted((r.series_id, r.ts.day, r.value) for r in stream.read_points(spark, out).collect())
-    assert got == [("a", 1, 2.0), ("a", 2, 1.0), ("b", 1, 1.0)]
-
-
 @pytest.mark.parametrize("n, freq, want", [(30, "D", 7), (100, "D", 20), (400, "D", 28), (26, "W", 5), (24, "M", 5)])
 def test_recent_length(spark, n, freq, want):
     row = spark.range(1).select(F.lit(freq).alias("freq")).select(P.recent_length(F.lit(n), Settings()).alias("k")).first()

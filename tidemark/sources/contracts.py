@@ -14,6 +14,8 @@ from tidemark.config import Settings
 from tidemark.operators.preprocess import recent_length
 from tidemark.sources.tables import breadth, zero_filled
 
+#: Authors that stand for none.
+DELETED = ("[deleted]", "[removed]", "")
 POINT = ["series_id", "ts", "value", "contributors", "top_share", "raw_count", "imputed"]
 
 
@@ -78,14 +80,21 @@ def newest(items: DataFrame, keys: list[str], most: int, *order: str) -> DataFra
     return items.withColumn("__place", place).where(F.col("__place") <= most).drop("__place")
 
 
-def story_points(counts: DataFrame, hits: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+def story_points(counts: DataFrame, hits: DataFrame, most: int, days: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(points, caveats) from day counts (series_id, ts, n, approximate) and the items listed for some days (series_id, ts, author).
 
     A listing holds the newest items, ``most`` at the most. Where a count is an
     estimate and the listing is shorter than it could be, its length is the
-    count. Days whose listing is shorter than the count are sampled.
+    count. Days whose listing is shorter than the count are sampled. days
+    (series_id, ts): those that were listed; one of them without an item has no
+    items and nobody behind them. By default they are those that have items.
     """
     listed = breadth(hits, ["series_id", "ts"], "author").withColumn("listed", F.lit(True))
+    if days is not None:
+        listed = days.select("series_id", "ts").distinct().join(listed.drop("listed"), ["series_id", "ts"], "left").withColumn("listed", F.lit(True))
+        none = F.lit(0).cast("long")
+        # Nobody holds a share of nothing.
+        listed = listed.withColumns({"raw_count": F.coalesce("raw_count", none), "contributors": F.coalesce("contributors", none), "top_share": F.when(F.col("raw_count") > 0, F.col("top_share"))})
     rows = counts.join(listed, ["series_id", "ts"], "left")
     exact = F.coalesce("listed", F.lit(False)) & F.col("approximate") & (F.col("raw_count") < most)
     rows = rows.withColumns({"value": F.when(exact, F.col("raw_count")).otherwise(F.col("n")).cast("double"), "approximate": F.col("approximate") & ~exact})
@@ -96,21 +105,27 @@ def story_points(counts: DataFrame, hits: DataFrame, most: int) -> tuple[DataFra
     return rows.select(*POINT), caveats_of(estimated, sampled)
 
 
-def post_points(posts: DataFrame, most: int, start: str, end: str, collected: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def post_points(posts: DataFrame, most: int, start: str, end: str, collected: DataFrame | None = None, series: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(points, coverage, caveats) from posts (series_id, ts timestamp, author, place), listed newest first, ``most`` at the most.
 
+    series (series_id): what was asked; one without posts is covered and zero.
+    By default they are those that have posts. Deleted authors are unknown ones.
+
     A listing that is full before it reaches start covers the days after that of
     its oldest post: that day is not whole. Days of the coverage without posts are
     zero. Share: of the largest author or place, the larger one. Collected days
     (series_id, ts, value, contributors, top_share) count before the coverage.
     """
     by = Window.partitionBy("series_id")
+    posts = posts.withColumn("author", F.when(~F.col("author").isin(*DELETED), F.col("author")))
     listed = newest(posts, ["series_id"], most, "author", "place").withColumns({"day": F.col("ts").cast("date"), "n": F.count(F.lit(1)).over(by)})
     span = listed.groupBy("series_id").agg(F.min("day").alias("oldest"), F.max("n").alias("n"))
     capped = (F.col("n") >= most) & (F.col("oldest") >= F.lit(start).cast("date"))
     # Only a listing that a further post would not fit in is capped.
     total = posts.groupBy("series_id").agg(F.count(F.lit(1)).alias("all"))
     span = span.join(total, "series_id").withColumn("capped", capped & (F.col("all") > most))
+    if series is not None:
+        span = series.select("series_id").distinct().join(span, "series_id", "left").withColumn("capped", F.coalesce("capped", F.lit(False)))
     span = span.select("series_id", "capped", F.when(F.col("capped"), F.greatest(F.lit(start).cast("date"), F.date_add("oldest", 1))).otherwise(F.lit(start).cast("date")).alias("coverage_start"))
     span = span.withColumn("coverage_start", F.when(F.col("coverage_start") <= F.lit(end).cast("date"), F.col("coverage_start")))
     inside = listed.join(span, "series_id").where(F.col("day").between(F.col("coverage_start"), F.lit(end).cast("date"))).select("series_id", F.col("day").alias("ts"), "author", "place")
