@@ -93,3 +93,21 @@ def test_column_generation_beats_or_meets_first_fit():
     assert used == counts
     assert sum(t for _, t in plan) <= sum(t for _, t in packing.first_fit(counts, 128))
     assert sum(t for _, t in plan) <= sum(w * k for w, k in counts.items()) / 128 * 1.01 + 2
+
+
+def test_counting_is_one_job_whatever_the_partitions(spark):
+    """24 partitions are counted at once, and the driver gets at most the table's entries."""
+    docs = frame(spark, documents(96)).repartition(24).cache()
+    docs.count()
+    seen = {}
+    for entries in (200, 10**5):
+        spark.sparkContext.setJobGroup(f"count-{entries}", "")
+        found = token_counts.chunk_counts(docs, "text", token_counts.TOKENIZER, entries).collect()
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"count-{entries}")) <= 2
+        got = token_counts.frequent_lengths(docs, "text", token_counts.TOKENIZER, entries)
+        assert len(got) <= entries and set(got) <= {r.chunk for r in found}
+        seen[entries] = got
+    spark.sparkContext.setJobGroup("", "")
+    t = tokens.tokenizer(token_counts.TOKENIZER)
+    assert len(seen[10**5]) > 100 and all(n == len(t.encode(c, add_special_tokens=False).ids) for c, n in list(seen[10**5].items())[:200])
+    docs.unpersist()

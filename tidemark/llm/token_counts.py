@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, table
+from tidemark.llm.common import slices, table, written
 from tidemark.llm.tokens import CACHE_CHUNK_BYTES, ByteCounts, byte_chunks, shared
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -25,13 +25,14 @@ FREQUENT = 65_536
 KEPT, SENT = 4, 4
 
 
-def frequent_lengths(docs: DataFrame, text_col: str, tokenizer: str, entries: int) -> dict[str, int]:
-    """The most frequent chunks of all documents, with their token counts.
+def chunk_counts(docs: DataFrame, text_col: str, tokenizer: str, entries: int) -> DataFrame:
+    """(chunk, n) from bounded counts of all documents.
 
     Each task counts its own documents in a table of bounded size (when it is
     full, the count of the entry at half its size is taken off all, and entries
-    at nothing go) and sends its first ones. Only these small tables meet, on the
-    driver: at most SENT * entries rows, or 16 from each task; no chunk is shuffled.
+    at nothing go) and hands its first ones on: so many that all tasks together
+    hand on SENT * entries, or 16 each. Executors sum these small tables up, all
+    in one job; no chunk of a text is shuffled.
     """
     most = KEPT * entries
     send = max(16, SENT * entries // max(1, docs.rdd.getNumPartitions()))
@@ -48,10 +49,25 @@ def frequent_lengths(docs: DataFrame, text_col: str, tokenizer: str, entries: in
         top = heapq.nlargest(send, ((n, c) for c, n in seen.items() if len(c) <= CACHE_CHUNK_BYTES))
         yield pa.RecordBatch.from_pydict({"chunk": pa.array([c for _, c in top], pa.string()), "n": pa.array([n for n, _ in top], pa.int64())})
 
-    merged = Counter()
-    for r in docs.select(F.col(text_col).alias("text")).mapInArrow(chunks, "chunk string, n long").toLocalIterator():
-        merged[r.chunk] += r.n
-    top = [c for _, c in heapq.nlargest(entries, ((n, c) for c, n in merged.items()))]
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(chunks, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+
+
+def frequent_lengths(docs: DataFrame, text_col: str, tokenizer: str, entries: int) -> dict[str, int]:
+    """The most frequent chunks of all documents, with their token counts.
+
+    Counts fall into classes an eighth of a power of two wide; the highest classes
+    that hold ``entries`` chunks together, or fewer, are the table: the driver
+    gets a row for each class (a few hundred) and ``entries`` rows.
+    """
+    counts = written(chunk_counts(docs, text_col, tokenizer, entries), "chunk_counts")
+    height = F.floor(8 * F.log2("n"))
+    least, held = None, 0
+    for r in counts.groupBy(height.alias("height")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("height")).collect():
+        held += r.rows
+        if held > entries:
+            break
+        least = r.height
+    top = [] if least is None else counts.where(height >= least).select("chunk").toArrow().column(0).to_pylist()
     return dict(zip(top, shared(ByteCounts, tokenizer).count(top, {}), strict=True))
 
 
@@ -68,6 +84,7 @@ def count_tokens(
     A null text counts as empty: 0 bytes, 0 tokens. Repeated rows each give a
     row; a null id stays null; other columns are ignored; an empty table gives
     no rows. Texts are never cut: one of any length is counted chunk by chunk.
+    Ties of chunks' frequencies change no count.
     """
     table_ = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, text_col, tokenizer, frequent))
 
