@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -113,6 +114,65 @@ def test_mixing(spark):
     assert mixing.mix(frame(spark, [])).collect() == [] and mixing.mix_counts(frame(spark, [])).collect() == []
 
 
+def copies_of(sizes, target, u, first, cap=3):
+    """Copies of one source's documents in falling order of size, one after another."""
+    least = sizes[first] if len(sizes) > first else -1
+    top = sum(n > least for n in sizes)
+    left, size, at, out = target, float(sum(sizes)), 0.0, []
+    for i, n in enumerate(sizes):
+        if i <= top:
+            rate = min(max(left / size, 0.0), cap) if size > 0 else min(target / sum(sizes), cap) if sum(sizes) else 0.0
+        before, after = (at, at + rate) if i < top else (at + rate * (i - top), at + rate * (i - top + 1))
+        c = min(math.floor(u + after) - math.floor(u + before), cap)
+        out.append(c)
+        if i < top:
+            left, size, at = left - c * n, size - n, after
+    return out
+
+
+@pytest.mark.parametrize("first", [mixing.FIRST, 5, 0])
+def test_one_offset_and_rates_of_what_is_left(spark, monkeypatch, first):
+    """Few documents of very unequal sizes: near the target whatever the offset; all in the order of one prefix sum."""
+    monkeypatch.setattr(mixing, "FIRST", first)
+    r = random.Random(3)
+    sizes = {"a": [9000, 400, 350, 20, 20, 7, 0], "b": [int(1.2**i) for i in range(50)], None: [5000, 4999] + [r.randint(0, 30) for _ in range(60)]}
+    rows = [(1000 * k + i, "w " * n, "en", s, 0) for k, (s, own) in enumerate(sizes.items()) for i, n in enumerate(own)]
+    monkeypatch.setattr(mixing.least_sizes, "__defaults__", (first,))
+    for seed in (1, 2, 3):
+        got = {}
+        for x in mixing.mix_counts(frame(spark, rows), seed=seed).collect():
+            got.setdefault(x.doc_id // 1000, []).append(x)
+        for k, (s, own) in enumerate(sizes.items()):
+            u = int(hashlib.md5(f"{seed}:{'null' if s is None else 's' + s}".encode()).hexdigest()[:13], 16) / (1 << 52)
+            target, taken = got[k][0].target, sum(x.taken for x in got[k])
+            want = copies_of(sorted(own, reverse=True), target, u, first)
+            by_size = {}
+            for n, c in zip(sorted(own, reverse=True), want, strict=True):
+                by_size.setdefault(n, []).append(c)
+            if first:  # without largest ones, size classes order the rest
+                found = {}
+                for x in got[k]:
+                    found.setdefault(x.size, []).append(x.copies)
+                if first == mixing.FIRST and len(own) <= first:
+                    assert {n: sorted(c) for n, c in found.items()} == {n: sorted(c) for n, c in by_size.items()}
+            assert all(0 <= x.copies <= 3 for x in got[k])
+            if first > len(own):
+                assert abs(taken - target) <= max(60, 0.02 * target)
+
+
+def test_every_offset_comes_near_the_target():
+    """The largest document behind the first ones bounds the error; the largest of all expects the source's rate."""
+    r = random.Random(1)
+    for sizes in (sorted((r.randint(1, 5000) for _ in range(200)), reverse=True), [int(1.1**i) for i in range(99, 0, -1)], [1000] * 80):
+        for rate in (0.3, 1.3, 2.6):
+            target, first = rate * sum(sizes), []
+            for k in range(200):
+                got = copies_of(sizes, target, (k + 0.5) / 200, mixing.FIRST)
+                first.append(got[0])
+                assert abs(sum(c * n for c, n in zip(got, sizes, strict=True)) - target) <= 1.5 * sizes[mixing.FIRST]
+            assert abs(sum(first) / 200 - rate) < 0.01
+
+
 def test_targets_stop_at_three_times(spark):
     sizes = {"a": 10, "b": 1000, "c": 2000, None: 5, "e": 0}
     totals = spark.createDataFrame([(s, str(s), n) for s, n in sizes.items()], "__source string, __key string, source_size long")
