@@ -6,7 +6,6 @@ no result of it is read any more; ``drop_written`` removes one earlier.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -42,12 +41,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def freed(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of finished plans that nothing refers to: it learns of them when the driver's JVM collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def removed(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
