@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.numbers import text_of
+
 # Names and phrases as published.
 NAMES = {
     "csv": "Uploaded CSV",
@@ -69,9 +71,8 @@ def badge(label: Column, direction: Column) -> Column:
 
 
 def fixed(value: Column, decimals: int = 1) -> Column:
-    """A value with so many decimals; never a negative zero."""
-    shown = F.format_string(f"%.{decimals}f", value)
-    return F.when(shown.rlike(r"^-0\.?0*$"), F.substring(shown, 2, 20)).otherwise(shown)
+    """A value with so many decimals, half to even on its binary value; never a negative zero."""
+    return text_of(value, decimals)
 
 
 def multiplier(value: float) -> str:
