@@ -31,21 +31,3 @@ def plural(n: Column, word: str) -> Column:
 
 def p_text(p: Column) -> Column:
     return F.when(F.round(p, 3) == 0, "p < 0.001").otherwise(F.concat(F.lit("p = "), F.format_number(p, 3)))
-
-
-def numbers_in(text: Column) -> Column:
-    """Numbers of a text, thousands separators taken out; dates are not numbers."""
-    bare = F.regexp_replace(text, r"\d{4}-\d{2}-\d{2}", " ")
-    return F.transform(F.regexp_extract_all(bare, F.lit(r"-?\d[\d,]*(?:\.\d+)?"), F.lit(0)), lambda x: F.regexp_replace(x, ",", "").cast("double"))
-
-
-def unlicensed(text: Column, facts: Column) -> Column:
-    """Numbers of a text that no fact equals, also not rounded to fewer decimals: what a narration made up."""
-    told = lambda x: F.exists(facts, lambda f: (f == x) | (F.round(f, 0) == x) | (F.round(f, 1) == x) | (F.round(f, 2) == x))
-    return F.filter(numbers_in(text), lambda x: ~told(x))
-
-
-def narration(series: Column, label: Column, direction: Column, confidence: Column, reason: Column) -> Column:
-    """A sentence that says nothing a verdict does not."""
-    move = F.when(direction.isNotNull(), F.concat(F.lit(" ("), direction, F.lit(")"))).otherwise("")
-    return F.concat(series, F.lit(": "), F.lower(F.translate(label, "_", " ")), move, F.lit(", "), confidence, F.lit(" confidence: "), reason, F.lit("."))

@@ -17,13 +17,13 @@ A table has one writer at a time.
 
 from __future__ import annotations
 
-import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.commits import following, head, names, numbers
 from tidemark.config import Settings
 from tidemark.operators.history import upsert
 from tidemark.plans import verdict as V
@@ -39,25 +39,6 @@ CHANGES = "series_id string, first_day date, last_day date"
 REPAIRED_DAYS = 7
 
 
-def _names(spark: SparkSession, path: str) -> dict[str, bool]:
-    """Folders below a path, and whether Spark has marked each as whole."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(at):
-        return {}
-    whole = lambda s: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
-    return {s.getPath().getName(): whole(s) for s in fs.listStatus(at) if s.isDirectory()}
-
-
-def _numbers(spark: SparkSession, path: str) -> dict[int, bool]:
-    return {int(m[1]): whole for name, whole in _names(spark, path).items() if (m := re.fullmatch(r"number=(\d+)", name))}
-
-
-def head(spark: SparkSession, path: str) -> int:
-    """The number of the last whole commit, 0 before the first."""
-    return max((n for n, whole in _numbers(spark, f"{path}/log").items() if whole), default=0)
-
-
 def manifest(spark: SparkSession, path: str, number: int) -> DataFrame:
     if not number:
         return spark.createDataFrame([], MANIFEST)
@@ -86,7 +67,7 @@ def commit(spark: SparkSession, path: str, rows: DataFrame, query: str | None =
     before = manifest(spark, path, at)
     if query is not None and before.where((F.col("query") == query) & (F.col("batch") >= batch)).limit(1).count():
         return None
-    number = max(_numbers(spark, f"{path}/log"), default=0) + 1
+    number = following(spark, path)
     name = f"{number:08d}-{uuid.uuid4().hex}"
     given = rows.select(*[(F.col(f[0]) if f[0] in rows.columns else F.lit(None)).cast(f[1]).alias(f[0]) for f in (x.split() for x in SCHEMA.split(", "))])
     rest = [c for c in given.columns if c not in KEYS]
@@ -108,10 +89,10 @@ def commit(spark: SparkSession, path: str, rows: DataFrame, query: str | None =
 
 def touched(spark: SparkSession, path: str, since: int = 0) -> DataFrame:
     """(series_id, first_day, last_day) of the days that commits after ``since`` changed."""
-    numbers = [n for n, whole in _numbers(spark, f"{path}/log").items() if whole and n > since]
-    if not numbers:
+    later = [n for n, whole in numbers(spark, f"{path}/log").items() if whole and n > since]
+    if not later:
         return spark.createDataFrame([], CHANGES)
-    rows = spark.read.schema(CHANGES).parquet(*[f"{path}/changes/number={n}" for n in numbers])
+    rows = spark.read.schema(CHANGES).parquet(*[f"{path}/changes/number={n}" for n in later])
     return rows.groupBy("series_id").agg(F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"))
 
 
@@ -154,7 +135,7 @@ def start(events: DataFrame, path: str, checkpoint: str, begin: str | None = Non
 
 def judge(spark: SparkSession, path: str, topic: str, source: str, s: Settings | None = None) -> int:
     """Writes verdicts of the series touched since the last ones; the number they are up to."""
-    done = max((n for n, whole in _numbers(spark, f"{path}/verdicts").items() if whole), default=0)
+    done = max((n for n, whole in numbers(spark, f"{path}/verdicts").items() if whole), default=0)
     at = head(spark, path)
     if at > done:
         series = written(touched(spark, path, done).select("series_id"), "touched")
@@ -166,8 +147,8 @@ def judge(spark: SparkSession, path: str, topic: str, source: str, s: Settings |
 
 def verdicts(spark: SparkSession, path: str) -> DataFrame:
     """The newest verdict of every series that was judged, and the commit it is up to (number)."""
-    numbers = [n for n, whole in _numbers(spark, f"{path}/verdicts").items() if whole]
-    rows = spark.read.option("basePath", f"{path}/verdicts").parquet(*[f"{path}/verdicts/number={n}" for n in numbers])
+    judged = [n for n, whole in numbers(spark, f"{path}/verdicts").items() if whole]
+    rows = spark.read.option("basePath", f"{path}/verdicts").parquet(*[f"{path}/verdicts/number={n}" for n in judged])
     return rows.groupBy("series_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "series_id"]), "number").alias("v")).select("series_id", "v.*")
 
 
@@ -176,8 +157,8 @@ def vacuum(spark: SparkSession, path: str) -> int:
     at, gone = head(spark, path), []
     # At most a commit a day is in a manifest.
     needed = {r.name for r in manifest(spark, path, at).where("name is not null").select("name").distinct().collect()}
-    gone += [f"{path}/data/{n}" for n in _names(spark, f"{path}/data") if n.removeprefix("name=") not in needed]
-    gone += [f"{path}/{kind}/number={n}" for kind in ("log", "changes") for n in _numbers(spark, f"{path}/{kind}") if n != at]
+    gone += [f"{path}/data/{n}" for n in names(spark, f"{path}/data") if n.removeprefix("name=") not in needed]
+    gone += [f"{path}/{kind}/number={n}" for kind in ("log", "changes") for n in numbers(spark, f"{path}/{kind}") if n != at]
     for folder in gone:
         removed(spark, folder)
     return len(gone)
