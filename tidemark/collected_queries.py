@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import history as H
+from tidemark.plans.facts import payload_facts
 from tidemark.source_queries import points
+from tidemark.sources import snapshots
+from tidemark.sources import tables as T
 from tidemark.sources.contracts import zero_filled
 from tidemark.sources.tables import breadth, read
 from tidemark.store import scratch_path
@@ -56,6 +60,38 @@ def streamed_days(spark, sf_dir):
     return zero_filled(C.read(spark, path)).select("series_id", F.col("ts").cast("string").alias("ts"), "value", "imputed")
 
 
+def history_by_article(spark, sf_dir):
+    """A refresh of daily orders over older ones: a priority whose article is another begins a history of its own."""
+    now = T.orders(spark, sf_dir, "D").select("series_id", "source", "freq", "scale", "ts", "value")
+    article = lambda new: F.create_map(F.lit("article"), F.when(F.col("series_id").endswith("/5"), F.lit(new)).otherwise(F.col("series_id")), F.lit("note"), F.lit(new))
+    old = now.where("ts < date'2001-07-01'").withColumns({"value": F.col("value") + 100, "meta": article("old")})
+    fresh = now.where("ts >= date'2001-06-01'").withColumn("meta", article("new"))
+    merged = H.merge_history(old.join(H.can_merge(old, fresh), "series_id", "left_semi"), fresh, 365)
+    return merged.select("series_id", F.col("ts").cast("string").alias("ts"), "value", F.col("meta")["article"].alias("article"), F.coalesce(F.try_element_at("meta", F.lit(H.MERGED_DAYS)), F.lit("0")).alias("merged_days"))
+
+
+def stored_series(spark, sf_dir):
+    """Snapshot files of daily events, written twice: in the second write only clicks differ in more than their fetch time."""
+    raw, path = T.events_daily(spark, sf_dir), scratch_path(spark, "snapshots")
+    at = lambda day: F.lit(day).cast("timestamp")
+    snapshots.write(raw.withColumn("fetched_at", at("2024-02-01")), path)
+    twice = F.when(F.col("series_id").endswith("click"), F.col("value") * 2).otherwise(F.col("value"))
+    snapshots.write(raw.withColumns({"fetched_at": at("2024-02-02"), "value": twice}), path)
+    rows = snapshots.stored(spark, path)[0]
+    return rows.select("series_id", F.col("ts").cast("string").alias("ts"), "value", F.col("fetched_at").cast("date").cast("string").alias("fetched"), "partial_rule", "last_incomplete")
+
+
+def document_facts(spark, sf_dir):
+    """Facts of a JSON document per type and day of events: how many numbers and percentages, their sum, and dates."""
+    e = read(spark, sf_dir, "events").withColumns({"day": F.to_date("ts").cast("string"), "k": F.get_json_object("props", "$.k")})
+    part = F.format_string('{"check":"c","stance":"%s","numbers":{"value_pct":%s,"deep":[{"n":[%d]}]}}', F.when(F.col("event_id") % 3 == 0, "skipped").otherwise("neutral"), "k", "user_id")
+    docs = e.groupBy(F.concat_ws("/", "event_type", "day").alias("id"), "day").agg(F.array_join(F.array_sort(F.collect_list(part)), ",").alias("parts"), F.count(F.lit(1)).alias("n"))
+    json = F.format_string('{"query":"x","evidence":[%s],"caveats":["%d items since %s"],"window":{"recent_start":"%s"}}', "parts", "n", "day", "day")
+    known = payload_facts(docs.select("id", json.alias("json")), "id", "json", "known")
+    numbers = F.col("known.numbers")
+    return known.select("id", F.size(numbers).cast("long").alias("n_numbers"), F.size(F.filter(numbers, lambda x: x["percent"])).cast("long").alias("n_percent"), F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x["value"].cast("double")).alias("total"), F.array_join(F.transform("known.dates", lambda d: d.cast("string")), ",").alias("dates"))
+
+
 EVENTS = "e AS (SELECT event_id, event_type AS series_id, ts, ts::DATE AS day, user_id::VARCHAR AS author, (user_id % 7)::VARCHAR AS place FROM events)"
 REPAIRED = f"""{EVENTS}, b AS (SELECT * FROM e WHERE day < DATE '{TODAY}'),
 r AS (SELECT * FROM b WHERE day >= DATE '{TODAY}' - 7 OR event_id % 4 <> 0),
@@ -65,7 +101,7 @@ d AS (SELECT DISTINCT series_id, day FROM v UNION SELECT series_id, unnest(gener
 w AS (SELECT series_id, day, coalesce(value, 0) AS value, coalesce(contributors, 0) AS contributors,
         CASE WHEN day >= DATE '{TODAY}' - 7 THEN greatest(mine, h.n / raw_count) ELSE mine END AS top_share, coalesce(raw_count, 0) AS raw_count
       FROM d LEFT JOIN v USING (series_id, day) LEFT JOIN h USING (series_id, day))"""
-QUERIES = {f.__name__: f for f in (repaired_days, repaired_changes, streamed_days)}
+QUERIES = {f.__name__: f for f in (repaired_days, repaired_changes, streamed_days, history_by_article, stored_series, document_facts)}
 ORACLES = {
     "repaired_days": f"WITH {REPAIRED} SELECT series_id, day::VARCHAR AS ts, value, contributors, round(top_share, 6) AS top_share, raw_count, false AS imputed FROM w",
     "repaired_changes": f"""WITH {REPAIRED}, f AS (SELECT series_id, day, count(*)::DOUBLE AS value, count(DISTINCT author) AS contributors FROM b WHERE event_id % 4 <> 0 GROUP BY ALL),
@@ -76,4 +112,22 @@ WHERE day >= DATE '{TODAY}' - 7 AND (f.value IS DISTINCT FROM w.value OR f.contr
     "streamed_days": f"""WITH {EVENTS}, m AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM e), v AS (SELECT series_id, day, count(*)::DOUBLE AS value FROM e, m WHERE day + 1 <= mark GROUP BY ALL),
 c AS (SELECT series_id, unnest(generate_series(min(day)::TIMESTAMP, max(day)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM v GROUP BY series_id)
 SELECT series_id, day::VARCHAR AS ts, coalesce(value, 0) AS value, value IS NULL AS imputed FROM c LEFT JOIN v USING (series_id, day)""",
+    "history_by_article": """WITH k AS (SELECT 'orders/D/' || substr(o_orderpriority, 1, 1) AS series_id, o_orderdate::DATE AS day, count(*)::DOUBLE AS value FROM orders GROUP BY ALL),
+m AS (SELECT *, day >= DATE '2001-06-01' AS fresh FROM k), a AS (SELECT series_id, day, CASE WHEN fresh THEN value ELSE value + 100 END AS value, fresh FROM m WHERE fresh OR series_id NOT LIKE '%/5'),
+l AS (SELECT *, max(day) OVER (PARTITION BY series_id) AS last FROM a), b AS (SELECT * FROM l WHERE day > last - 365),
+n AS (SELECT *, count(*) FILTER (NOT fresh) OVER (PARTITION BY series_id) AS merged FROM b)
+SELECT series_id, day::VARCHAR AS ts, value, CASE WHEN series_id LIKE '%/5' THEN 'new' ELSE series_id END AS article, merged::VARCHAR AS merged_days FROM n""",
+    "stored_series": """WITH v AS (SELECT 'events/' || event_type AS series_id, ts::DATE AS day, count(*) AS n FROM events GROUP BY ALL),
+c AS (SELECT series_id, unnest(generate_series(min(day)::TIMESTAMP, max(day)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM v GROUP BY series_id)
+SELECT series_id, day::VARCHAR AS ts, coalesce(n, 0)::DOUBLE * CASE WHEN series_id LIKE '%click' THEN 2 ELSE 1 END AS value,
+       CASE WHEN series_id LIKE '%click' THEN '2024-02-02' ELSE '2024-02-01' END AS fetched, 'fetched_at' AS partial_rule, false AS last_incomplete
+FROM c LEFT JOIN v USING (series_id, day)""",
+    # The lengths are facts too: of evidence, what ran of it, conditions, caveats and each stance.
+    "document_facts": """WITH e AS (SELECT event_type || '/' || ts::DATE AS id, ts::DATE::VARCHAR AS day, event_id, user_id, props FROM events),
+p AS (SELECT id, day, '{"check":"c","stance":"' || CASE WHEN event_id % 3 = 0 THEN 'skipped' ELSE 'neutral' END || '","numbers":{"value_pct":' || (props->>'$.k') || ',"deep":[{"n":[' || user_id || ']}]}}' AS part FROM e),
+d AS (SELECT id, '{"query":"x","evidence":[' || string_agg(part, ',') || '],"caveats":["' || count(*) || ' items since ' || day || '"],"window":{"recent_start":"' || day || '"}}' AS doc FROM p GROUP BY id, day),
+t AS (SELECT d.id, j.key, j.type, j.atom FROM d, json_tree(d.doc::JSON) j),
+w AS (SELECT id, count(*) FILTER (type IN ('UBIGINT', 'BIGINT', 'DOUBLE')) AS n, count(*) FILTER (key LIKE '%\\_pct' ESCAPE '\\') AS pct, coalesce(sum(try_cast(atom::VARCHAR AS DOUBLE)) FILTER (type IN ('UBIGINT', 'BIGINT', 'DOUBLE')), 0) AS total,
+        count(*) FILTER (key = 'stance') AS k, count(*) FILTER (key = 'stance' AND atom::VARCHAR NOT LIKE '%skipped%') AS ran, count(DISTINCT atom::VARCHAR) FILTER (key = 'stance') AS kinds FROM t GROUP BY id)
+SELECT id, (n + 1 + 4 + kinds)::BIGINT AS n_numbers, pct::BIGINT AS n_percent, total + k + k + ran + 1 + k AS total, split_part(id, '/', 2) AS dates FROM w""",
 }

@@ -48,6 +48,7 @@ MEANS = {
 }
 
 
+# The sentences of conditions below, and the clauses of topic_sentences above, are published texts that must match.
 def condition_text(c: Column, s: Settings) -> Column:
     """A condition of verdicts() in words; its row's label, freq and counts are read beside it."""
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
