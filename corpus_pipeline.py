@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, written
+from tidemark.llm.common import drop_written, table, written
 from tidemark.llm.language_id import UNKNOWN, identified
 from tidemark.llm.mixing import mix
 from tidemark.llm.near_dedup import near_duplicates
@@ -21,6 +21,8 @@ from tidemark.llm.secret_scan import redact
 #: A text of at least so many characters that is like no language at all is rejected.
 LONG_TEXT = 200
 LEAST_SCORE = 0.1
+#: Copies of documents that a stage reads until its result is written; the next stage drops them.
+PASSING: list[DataFrame] = []
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,6 +45,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     two rows, and each stays unless it is like another. Texts without words stay.
     """
     rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    PASSING.append(rows)
     found = near_duplicates(rows.select("__row", "text"), "__row").select(F.col("doc_id").alias("__row"), "component_id")
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"]
     kept = found.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(least.alias("__row")).select("__row")
@@ -50,7 +53,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; its secrets are replaced by a mark."""
+    """Every document stays; its secrets are replaced by a mark. The stage before has been written by now, so what only it read goes."""
+    while PASSING:
+        drop_written(PASSING.pop())
     clean = redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
