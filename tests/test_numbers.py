@@ -52,7 +52,7 @@ def test_every_number_of_every_sentence_is_recorded(spark):
     step = [v + 90 * (i >= 75) for i, v in enumerate(noise(90, seed=4))]
     year = [100 + 50 * math.sin(i / 364 * 2 * math.pi) + i % 3 for i in range(900)]
     gap = [None if i % 9 == 4 else v for i, v in enumerate(noise(90, seed=6))]
-    raw = frame(spark, series("flat", flat), series("spike", spike), series("rise", rise), series("rare", rare), series("short", flat[:10]), series("step", step), series("year", year), series("gap", gap))
+    raw = frame(spark, series("flat", flat), series("spike", spike), series("rise", rise), series("rare", rare, scale="count"), series("one", noise(60, 50), scale="count", top_share=0.7, contributors=5, raw_count=50), series("short", flat[:10]), series("step", step), series("year", year), series("gap", gap))
     rows = E.with_evidence(V.verdicts(raw), Settings()).withColumn("lead", E.lead()).collect()
     seen = set()
     for r in rows:
@@ -64,7 +64,7 @@ def test_every_number_of_every_sentence_is_recorded(spark):
     flatten = spark.createDataFrame([((e.summary if "summary" in e else e.reason), e.numbers) for r in rows for e in [*r.evidence, *r.skipped]], f"text string, numbers array<{N.NUMBER}>")
     bad = T.with_undisplayed(flatten, F.col("text"), F.col("numbers"), "bad").where("size(bad) > 0").collect()
     assert bad == []
-    assert {c for c, ran in seen if ran} >= {"persistence", "concentration", "outliers", "level_shift", "low_count"} and {c for c, ran in seen if not ran} >= {"seasonality", "breadth", "low_count", "concentration"}
+    assert {c for c, ran in seen if ran} >= {"persistence", "concentration", "outliers", "level_shift", "low_count", "breadth"} and {c for c, ran in seen if not ran} >= {"seasonality", "breadth", "low_count", "concentration"}
     by = {r.series_id: r for r in rows}
     assert by["spike"].lead.startswith("Few periods carry the change") and by["short"].lead is None
     shift = next(e for e in by["step"].evidence if e.check == "level_shift")

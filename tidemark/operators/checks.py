@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Settings
 from tidemark.functions import kernels as K
+from tidemark.functions.intervals import rate_ratios
 from tidemark.operators.preprocess import over_series
 
 SKIPPED = "skipped"
@@ -89,8 +90,8 @@ def low_count(points: DataFrame, s: Settings) -> DataFrame:
 
     @F.pandas_udf("lower double, upper double")
     def interval(k1: pd.Series, n1: pd.Series, k0: pd.Series, n0: pd.Series) -> pd.DataFrame:
-        rows = [K.rate_ratio(int(a), int(b), int(c), int(d), level)[1:] if a == a else (math.nan, math.nan) for a, b, c, d in zip(k1, n1, k0, n0, strict=True)]
-        return pd.DataFrame(rows, columns=["lower", "upper"])
+        lower, upper = rate_ratios(k1, n1, k0, n0, level)
+        return pd.DataFrame({"lower": lower, "upper": upper})
 
     active = (F.col("scale") == "count") & (F.col("mean") < s.low_count_threshold) & (F.col("k0") + F.col("k1") > 0) & (F.col("n1") > 0)
     sums = sums.withColumn("active", F.coalesce(active, F.lit(False)))
