@@ -74,3 +74,26 @@ def test_issue_codes_against_a_payload(spark, text, codes):
 @pytest.mark.parametrize("text,depth", [("{}", 1), ("[[1],[2,[3]]]", 3), ('{"a":"[[[","b":["\\"]"]}', 2), ("5", 0), ("", 0)])
 def test_nesting(spark, text, depth):
     assert spark.createDataFrame([(text,)], "t string").select(X.nesting(F.col("t")).alias("n")).first().n == depth
+
+
+def test_a_document_in_parts_has_the_facts_of_the_whole_one(spark):
+    whole = json.dumps(PAYLOAD | {"evidence": [*PAYLOAD["evidence"], {}, 7, []], "change_my_mind": {"a": 1, "b": [2, 3]}, "caveats": "41 more"})
+    parts = [{k: v} for k, v in json.loads(whole).items() if k != "evidence"] + [{"evidence": [x]} for x in json.loads(whole)["evidence"]]
+    docs = spark.createDataFrame([(1, whole), *[(2, json.dumps(p)) for p in parts], (3, None), (4, "no json {"), (None, "[5]")], "id int, json string")
+    known = {r.id: r.known for r in X.payload_facts(docs, "id", "json").collect()}
+    assert sorted(known[1].numbers) == sorted(known[2].numbers) and sorted(known[1].dates) == sorted(known[2].dates)
+    # Six items of evidence, two of which are empty; two conditions; a caveat that is no list.
+    assert sorted(float(n.value) for n in known[1].numbers) == sorted([12.3, 99, 4.25, 7, 7, 1, 2, 3, 41] + [6, 2, 0, 2, 2, 1])
+    totals = {r.id: r for r in X.fact_totals(docs, "id", "json").collect()}
+    assert set(totals) == set(known) == {1, 2, 3, 4, None}
+    for k, t in totals.items():
+        numbers = known[k].numbers
+        assert (t.n_numbers, t.n_percent, t.dates) == (len(numbers), sum(n.percent for n in numbers), sorted(known[k].dates))
+        assert t.total == pytest.approx(sum(float(n.value) for n in numbers))
+
+
+def test_every_value_is_taken_apart_once(spark):
+    docs = spark.createDataFrame([(1, "[[[[[[1]]]]]]")], "id int, json string")
+    plan = X.fact_totals(docs, "id", "json")._jdf.queryExecution().optimizedPlan().toString()
+    # Once for numbers and once for texts, whatever the depth.
+    assert plan.count("try_parse_json") + plan.count("parseJson") == 2
