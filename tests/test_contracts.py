@@ -73,3 +73,17 @@ def test_interest(spark):
 def test_history_range(spark):
     first, last = C.history_range(F.lit(None).cast("date"), F.lit("2030-01-01").cast("date"), 3, F.lit(DAY))
     assert tuple(spark.range(1).select(first, last).first()) == (day(-2), day(0))
+
+
+def test_points_and_buckets_are_made_once(spark):
+    from tidemark.plans import verdict as V
+    from tidemark.sources import tables as T
+
+    rows = spark.range(120).selectExpr("'s' AS series_id", "date_add(date'2024-01-01', cast(id + id div 60 as int)) AS ts", "double(id) AS value", "id AS contributors", "0.1D AS top_share", "id AS raw_count", "false AS imputed")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    filled = T.zero_filled(rows)
+    assert plan(filled).count("Range (") == 1
+    got = {str(r.ts): r for r in filled.collect()}
+    assert len(got) == 121 and [r.value for r in got.values() if r.imputed] == [0.0] and got["2024-03-01"].imputed and got["2024-03-01"].contributors is None
+    verdicts = V.verdicts(T.complete(filled, "t", "s", "D"))
+    assert plan(verdicts).count("Range (") == 0

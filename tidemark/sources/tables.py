@@ -6,7 +6,7 @@ that a period with very many items is a few rows per task before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.store import written
@@ -37,10 +37,13 @@ def complete(points: DataFrame, topic: str, source: str, freq: str, scale: str =
 
 
 def zero_filled(points: DataFrame, step: str = "1 day") -> DataFrame:
-    """Missing periods between a series' first and last are zero and imputed."""
-    ends = points.groupBy("series_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    days = ends.select("series_id", F.explode(F.expr(f"sequence(a, b, interval {step})")).alias("ts"))
-    out = days.join(points, ["series_id", "ts"], "left")
+    """Missing periods between a series' first and last are zero and imputed. Points are made once: each brings those that are missing up to the next."""
+    after = F.lead("ts").over(Window.partitionBy("series_id").orderBy("ts"))
+    rows = points.where("ts is not null").withColumn("__last", F.greatest(F.col("ts"), F.date_sub(after, 1)))
+    rows = rows.select("*", F.posexplode(F.expr(f"sequence(ts, coalesce(__last, ts), interval {step})")).alias("__place", "__ts"))
+    own = F.col("__place") == 0
+    others = [c for c in points.columns if c not in ("series_id", "ts")]
+    out = rows.select("series_id", F.col("__ts").alias("ts"), *[F.when(own, F.col(c)).alias(c) for c in others])
     return out.withColumns({"imputed": F.coalesce("imputed", F.col("value").isNull()), "value": F.coalesce("value", F.lit(0.0))})
 
 
@@ -73,18 +76,19 @@ def shipments(spark: SparkSession, sf_dir: str, freq: str) -> DataFrame:
 
 
 def all_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every series above, daily, weekly and monthly. A table is scanned once: its counts by day and origin are written, and longer periods are sums of them."""
+    """Every series above, daily, weekly and monthly. A table's items are moved once, to their origin: all periods of an origin are counted there, and only counts by period move on."""
     out = events_daily(spark, sf_dir)
     kinds = (
         ("orders", "orders", F.substring("o_orderpriority", 1, 1), "o_orderdate", "o_custkey", None),
         ("lineitem", "lines", F.col("l_returnflag"), "l_shipdate", "l_suppkey", {"D": "1 day", "W": "7 day", "M": "1 month"}),
     )
     for table, source, key, ts, origin, fill in kinds:
+        # Some origin with very many items still is one row a day: the days' counts meet, not the items.
         by = read(spark, sf_dir, table).groupBy(key.alias("key"), bucket(F.col(ts), "D").alias("day"), F.col(origin).alias("origin")).agg(F.count(F.lit(1)).alias("n"))
-        by = written(by, "days")
+        by = written(by, "days").repartition("key", "origin")
         for freq in ("D", "W", "M"):
-            name = F.concat(F.lit(f"{source}/{freq}/"), "key")
-            periods = by.groupBy(name.alias("series_id"), bucket(F.col("day"), freq).alias("ts"), "origin").agg(F.sum("n").alias("n"))
-            points = shares(periods, ["series_id", "ts"]).withColumns({"value": F.col("raw_count").cast("double"), "imputed": F.lit(False)})
+            periods = by.groupBy("key", bucket(F.col("day"), freq).alias("ts"), "origin").agg(F.sum("n").alias("n"))
+            points = shares(periods, ["key", "ts"]).withColumns({"value": F.col("raw_count").cast("double"), "imputed": F.lit(False)})
+            points = points.withColumn("series_id", F.concat(F.lit(f"{source}/{freq}/"), "key")).drop("key")
             out = out.unionByName(complete(zero_filled(points, fill[freq]) if fill else points, "trade", source, freq))
     return out
